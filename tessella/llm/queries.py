@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tessella.functions.cells import distinct_cells
 from tessella.functions.expression import expression_rows
 from tessella.functions.identifiers import clean_id, type_key
+from tessella.llm.encoding import encode_texts
+from tessella.llm.language import corrected_labels, document_languages, learn, segment_languages
+from tessella.llm.leakage import leaked_items
 from tessella.llm.linked_split import assign_splits, linked_groups, path_key, sample_key
 from tessella.llm.proportional import draw, wanted_and_there
 from tessella.llm.top_n import top_n_per_group
@@ -74,6 +77,35 @@ def p7_sample(spark: SparkSession, folder: str) -> DataFrame:
     return draw(*_draws(spark, folder)).select(F.col("draw").alias("draw_id"), F.col("category").alias("type_key"), F.col("item").alias("cell_id"))
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_texts(table(spark, folder, "documents"))
+
+
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the items they hold, with the share of the item's words."""
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Language and confidence of every segment of every document."""
+    documents = table(spark, folder, "documents")
+    return segment_languages(documents, learn(documents))
+
+
+def p10_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of documents whose label is missing, wrong or not the only one, with share, confidence and reason."""
+    documents = table(spark, folder, "documents")
+    return corrected_labels(documents, materialise(document_languages(segment_languages(documents, learn(documents)))))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_labels(spark, folder).select("doc_id", "lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_split": p3_split,
@@ -82,6 +114,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_sample": p7_sample,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
+    "p10_found": p10_found,
+    "p10_labels": p10_labels,
+    "p10_segments": p10_segments,
 }
 
 _EXPRESSION = r"""
