@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from tessella.functions.cells import distinct_cells
 from tessella.functions.expression import expression_rows
 from tessella.functions.identifiers import clean_id, type_key
+from tessella.llm.birch import clusters, describe, tight_groups
 from tessella.llm.encoding import encode_texts
 from tessella.llm.language import corrected_labels, document_languages, learn, segment_languages
 from tessella.llm.leakage import leaked_items
 from tessella.llm.linked_split import assign_splits, linked_groups, path_key, sample_key
 from tessella.llm.proportional import draw, wanted_and_there
+from tessella.llm.similar import similar
+from tessella.llm.sparse import packed_vectors
 from tessella.llm.top_n import top_n_per_group
 from tessella.session import materialise
 from tessella.sources.tables import table
@@ -36,6 +39,36 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_top(spark, folder).select("sample_id", "cluster", "gene", "cell_id")
 
 
+def cell_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """(cell_id, vec): the expression of every cell as a packed unit vector."""
+    rows = expression_rows(table(spark, folder, "expr")).select("cell_id", "gene", "value")
+    return packed_vectors(rows, "cell_id", F.col("gene"), F.col("value"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of cells of similarity 0.995 or more of which one is among the 5 most similar to the other."""
+    near = similar(cell_vectors(spark, folder), 5, min_similarity=0.995)
+    return near.select(F.least("a", "b").alias("cell_a"), F.greatest("a", "b").alias("cell_b")).distinct()
+
+
+def p1_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 most similar cells of every 50th cell (by a hash of its id) among all cells, near or far."""
+    vectors = materialise(cell_vectors(spark, folder))
+    asked = vectors.filter(F.pmod(F.xxhash64("cell_id"), F.lit(50)) == 0).select("cell_id")
+    found = similar(vectors, 5, queries=asked, dims=None, ef=96, keep=24)
+    return found.select(F.col("a").alias("cell_id"), F.col("b").alias("neighbour"), "similarity", "rank")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of three or more cells alike to 0.8 among themselves and to no other cell."""
+    return tight_groups(clusters(cell_vectors(spark, folder))).select("cluster_first", F.col("k").alias("cell_id"))
+
+
+def p6_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every cluster with its size and its 3 most typical cells."""
+    return describe(clusters(cell_vectors(spark, folder)))
+
+
 def p3_split(spark: SparkSession, folder: str) -> DataFrame:
     """The split of every training record, 80/10/10, linked records together."""
     records = table(spark, folder, "training_records")
@@ -107,10 +140,14 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_nearest": p1_nearest,
     "p3_found": p3_found,
     "p3_split": p3_split,
     "p5_found": p5_found,
     "p5_top": p5_top,
+    "p6_found": p6_found,
+    "p6_clusters": p6_clusters,
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_sample": p7_sample,
