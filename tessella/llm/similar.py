@@ -42,6 +42,26 @@ def hints(block: Block) -> np.ndarray:
     return np.stack(cols, axis=1).astype(np.int64)
 
 
+def _close(block: Block, a: np.ndarray, b: np.ndarray, s: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs, their mirror images, and the neighbours of neighbours at least ``least`` similar."""
+    n = len(block)
+    code = np.unique(np.r_[a * n + b, b * n + a])
+    x, y = code // n, code % n
+    start, size = np.searchsorted(x, np.arange(n)), np.bincount(x, minlength=n)
+    far = [code]
+    for at in range(0, len(x), 20_000):
+        u, v = x[at : at + 20_000], y[at : at + 20_000]
+        m = size[v]
+        third = y[np.repeat(start[v] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())]
+        first = np.repeat(u, m)
+        far.append(np.unique((first * n + third)[first != third]))
+    code = np.unique(np.concatenate(far))
+    x, y = code // n, code % n
+    s = block.dots(x, y)
+    good = s >= least - 1e-6
+    return x[good], y[good], s[good]
+
+
 def _plan(vectors: DataFrame, shard_rows: int) -> dict[int, tuple[int, int]]:
     """First shard and number of shards of every drawn feature; no more features than genes come to the driver."""
 
@@ -144,6 +164,10 @@ def similar(
         s = block.dots(a, b)
         good = s >= min_similarity - 1e-6
         a, b, s = a[good], b[good], s[good]
+        if not everywhere and min_similarity > 0 and len(a):
+            a, b, s = _close(block, a, b, s, min_similarity)
+            good = names[a] != names[b]
+            a, b, s = a[good], b[good], s[good]
         order = np.lexsort((names[b], -s, a)) if len(a) else np.empty(0, np.int64)
         a, b, s = a[order], b[order], s[order]
         start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
