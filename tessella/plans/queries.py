@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions.cells import distinct_cells
 from tessella.operators.spatial_join import near_pairs, points_in_outlines
 from tessella.operators.units import positions_in_nm
+from tessella.plans import reference
 from tessella.sources.tables import table
 
 
@@ -35,6 +36,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_positions": p4_positions,
-}
+} | reference.QUERIES
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(reference.SQL)

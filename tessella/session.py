@@ -52,7 +52,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if not _WRITTEN:
         atexit.register(_sweep)
     _WRITTEN.append((spark, path))
