@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Two-letter code, three-letter codes and English name of languages.
@@ -208,8 +208,6 @@ def learn(labelled: DataFrame, *, text: str = "text", label: str = "lang", per_l
     wrong: after each round only segments whose language agrees with their row's label are kept.
     Languages with under ``least`` rows are not learnt.
     """
-    from pyspark.sql import Window
-
     code = language_code(F.col(label))
     rows = labelled.select(code.alias("c"), F.col(text).alias("t")).filter("c is not null and t is not null and length(t) >= 20").select("c", F.substring("t", 1, chars).alias("t"), F.xxhash64("t").alias("h"))
     order = Window.partitionBy("c").orderBy("h", "t")
@@ -299,8 +297,8 @@ def document_languages(segs: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     """(doc, lang, share, confidence): languages with a full sentence, their share of the text's segments by length."""
     size = F.sum((F.col("stop") - F.col("start")).cast("double"))
     per = segs.groupBy(doc, "lang").agg(size.alias("n"), F.bool_or("sentence").alias("full"), (F.sum(F.col("confidence") * (F.col("stop") - F.col("start"))) / size).alias("confidence"))
-    whole = segs.groupBy(doc).agg(size.alias("all"))
-    return per.filter("full").join(whole, doc).select(doc, "lang", (F.col("n") / F.col("all")).alias("share"), "confidence")
+    whole = F.sum("n").over(Window.partitionBy(doc))
+    return per.withColumn("share", F.col("n") / whole).filter("full").select(doc, "lang", "share", "confidence")
 
 
 def corrected_labels(documents: DataFrame, found: DataFrame, *, doc: str = "doc_id", label: str = "lang") -> DataFrame:
