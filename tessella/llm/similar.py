@@ -103,7 +103,8 @@ def similar(
     """
     v = materialise(vectors.select(F.col(key).alias("k"), "vec", F.md5("vec").alias("m")))
     copies = materialise(v.groupBy("m").agg(F.min("k").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("m", "rep"))
-    v = materialise(v.join(copies, "m", "left").select("k", "vec", F.coalesce("rep", "k").alias("rep")))
+    none = copies.isEmpty()
+    v = v.select("k", "vec", F.col("k").alias("rep")) if none else materialise(v.join(copies, "m", "left").select("k", "vec", F.coalesce("rep", "k").alias("rep")))
     unique = v.filter("k = rep").select("k", "vec")
     plan = _plan(unique, shard_rows)
     shards = 1 + max((s + n - 1 for s, n in plan.values()), default=0)
@@ -179,7 +180,7 @@ def similar(
     pairs = met.groupBy("a", "b").agg(F.max("s").alias("s"))
     best = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("s"), "b"))
     pairs = pairs.withColumn("n", best("a")).filter(F.col("n") <= k).select("a", "b", "s")
-    if copies.isEmpty():
+    if none:
         return pairs.filter(F.col("s") >= min_similarity).select("a", "b", F.col("s").alias("similarity"), best("a").alias("rank"))
     # copies: the k + 1 smallest keys of each set can be among the k best of anything
     named = v.select(F.col("k").cast("string").alias("k"), F.col("rep").cast("string").alias("rep"))
