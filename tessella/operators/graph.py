@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -228,7 +229,6 @@ def benjamini_hochberg(rows: DataFrame, p: str = "p", *, by: str | None = None,
 
 def erfc(x: Column) -> Column:
     """Complementary error function, by Arrow batches (Spark has none)."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def f(v: pd.Series) -> pd.Series:

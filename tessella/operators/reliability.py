@@ -31,7 +31,7 @@ def robustness_component(present: Column, sign: Column, top: Column) -> Column:
 
 def weakest_link(*components: Column) -> Column:
     """Least of the components, each cut to [0, 1], to 4 digits; nulls are skipped, none gives 0. C8."""
-    cut = [F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)) for c in components]
+    cut = [F.when(c.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))) for c in components]
     return F.bround(F.coalesce(F.least(*cut) if len(cut) > 1 else cut[0], F.lit(0.0)), 4)
 
 
