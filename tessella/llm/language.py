@@ -36,7 +36,7 @@ def language_code(label: Column) -> Column:
 
 
 _CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
-_END = re.compile(rf"(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[。！？])|\n\s*\n")
+_END = re.compile(rf"(?<=[.!?])[\"'»”’)\]]*\s+|(?<=[。！？])|\n\s*\n")
 _CODE = re.compile(r"\S*[\d_=@<>{}|\\/#]\S*")
 _KEEP_CJK = re.compile(rf"[A-Za-z0-9_=.,]+")
 _RUN = re.compile(rf"[{_CJK}]+|[^\W\d_{_CJK}]+(?:['’][^\W\d_{_CJK}]+)*")
@@ -52,7 +52,7 @@ def segments(text: str) -> Iterator[tuple[int, int, list[str], bool]]:
 
     A segment ends at the end of a sentence or at a blank line.  Words hold letters only: tokens
     with digits and upper-case codes belong to no language.  ``sentence``: it closes with an
-    end mark and has at least 4 words and 15 letters, or 8 Han or kana characters.
+    end mark (an ellipsis is none) and has at least 4 words and 15 letters, or 8 Han or kana characters.
     """
     at = 0
     cuts = [(m.start(), m.end()) for m in _END.finditer(text)] + [(len(text), len(text))]
@@ -61,7 +61,7 @@ def segments(text: str) -> Iterator[tuple[int, int, list[str], bool]]:
         if part.strip():
             words, letters, marks = words_of(part)
             tail = part.rstrip("\"'»”’)] \t\r\n")[-1:]
-            closed = tail != "" and tail in ".!?…。！？"
+            closed = tail != "" and tail in ".!?。！？"
             yield at, stop, words, closed and ((len(words) >= 4 and letters >= 15) or marks >= 8)
         at = nxt
 
