@@ -22,7 +22,7 @@ def expression_clusters(expr: DataFrame, *, resolution: float = 0.5, components:
     g = expr.filter("value > 0").select("cell_id", F.pmod(F.xxhash64("gene"), F.lit(buckets)).cast("int").alias("b"), "value").groupBy("cell_id", "b").agg(F.sum("value").alias("v"))
     m = g.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "v"))).alias("m"))
     used = [r.b for r in g.select("b").distinct().orderBy("b").collect()]  # at most ``buckets`` numbers
-    dense = F.array(*[F.coalesce(F.element_at("m", F.lit(b)), F.lit(0.0)) for b in used])
+    dense = F.transform(F.lit(used).cast("array<int>"), lambda b: F.coalesce(F.element_at("m", b), F.lit(0.0)))
     x = materialise(m.select("cell_id", dense.alias("a"))).select("cell_id", array_to_vector("a").alias("x"))
     k = max(2, round(resolution * 40))
     pc = PCA(k=min(components, len(used)), inputCol="x", outputCol="pc").fit(x).transform(x).select("cell_id", "pc")

@@ -180,10 +180,12 @@ def positions_in_nm(rows: DataFrame, sources: DataFrame, *, confident: float = 0
     """Every delivered position once, in whole nanometres where its unit is settled.
 
     Columns: row_id, source_id, x_nm, y_nm (null if not settled or not readable), unit_x, unit_y,
-    basis (text, named, notes, predicted, none: of x), confidence, readable, review.
+    basis (text, named, notes, predicted, none: of x), predicted, confidence, readable, review.
 
     * Repeated rows of a row_id count once (the largest delivery); null row_ids are dropped.
     * A row of an unknown source, or in pixels of unknown size, is readable but not converted.
+    * Where a source names no unit, the ensemble predicts it from magnitude, category, the words
+      and the noted unit; a unit the notes state is the exact check and wins if they differ.
     * ``review`` marks readable rows that were not converted.
     """
     vx, ux = read_value(F.col("x_text"))
@@ -211,6 +213,6 @@ def positions_in_nm(rows: DataFrame, sources: DataFrame, *, confident: float = 0
     basis = F.when(F.col("ux").isNotNull(), "text").when(F.col("named").isNotNull(), "named").when(F.col("noted").isNotNull(), "notes").when(sure.isNotNull(), "predicted").otherwise("none")
     return j.select(
         "row_id", "source_id", "x_nm", "y_nm", "unit_x", "unit_y", basis.alias("basis"),
-        F.when(basis.isin("text", "named", "notes"), 1.0).otherwise(F.col("confidence")).alias("confidence"),
+        "predicted", F.when(basis.isin("text", "named"), 1.0).otherwise(F.col("confidence")).alias("confidence"),
         readable.alias("readable"), (readable & (F.col("x_nm").isNull() | F.col("y_nm").isNull())).alias("review"),
     )
