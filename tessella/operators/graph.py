@@ -89,14 +89,21 @@ def shuffled_labels(cells: DataFrame, perms: int, *, seed: str = "0", value: str
     return p.select("perm", "sample_id", "rn", "cell_id").join(p.select("perm", "sample_id", F.col("rb").alias("rn"), "value"), ["perm", "sample_id", "rn"]).drop("rn")
 
 
+def _by_cell(shuffled: DataFrame) -> DataFrame:
+    """(sample_id, cell_id, values): the values of a cell under all permutations, in order, so edges join once."""
+    g = shuffled.groupBy("sample_id", "cell_id").agg(F.array_sort(F.collect_list(F.struct("perm", "value"))).alias("v"))
+    return g.select("sample_id", "cell_id", F.transform("v", lambda r: r["value"]).alias("values"))
+
+
 def enrichment(edges: DataFrame, cells: DataFrame, *, perms: int = 20, seed: str = "0") -> DataFrame:
     """(sample_id, a, b, n, z): edges between labels against shuffled labels. P1, A19.
 
     z = (observed - mean) / population sd over the permutations; pairs of sd 0 are left out.
     """
-    lab = materialise(shuffled_labels(cells.filter("cell_type is not null"), perms, seed=seed))
-    j = edges.select("sample_id", "src", "dst").join(lab.withColumnsRenamed({"cell_id": "src", "value": "ls"}), ["sample_id", "src"]).join(lab.withColumnsRenamed({"cell_id": "dst", "value": "ld"}), ["sample_id", "dst", "perm"])
-    n = j.groupBy("sample_id", "perm", F.least("ls", "ld").alias("a"), F.greatest("ls", "ld").alias("b")).agg(F.count("*").alias("n"))
+    lab = materialise(_by_cell(shuffled_labels(cells.filter("cell_type is not null"), perms, seed=seed)))
+    j = edges.select("sample_id", "src", "dst").join(lab.withColumnsRenamed({"cell_id": "src", "values": "ls"}), ["sample_id", "src"]).join(lab.withColumnsRenamed({"cell_id": "dst", "values": "ld"}), ["sample_id", "dst"])
+    j = j.select("sample_id", F.posexplode(F.arrays_zip("ls", "ld")).alias("perm", "p"))
+    n = j.groupBy("sample_id", "perm", F.least("p.ls", "p.ld").alias("a"), F.greatest("p.ls", "p.ld").alias("b")).agg(F.count("*").alias("n"))
     s = F.when(F.col("perm") > 0, F.col("n")).otherwise(0).cast("double")
     g = n.groupBy("sample_id", "a", "b").agg(F.max(F.when(F.col("perm") == 0, F.col("n"))).alias("o"), F.sum(s).alias("s"), F.sum(s * s).alias("q"))
     mean = F.col("s") / perms
@@ -138,7 +145,10 @@ def _morans(edges: DataFrame, values: DataFrame, cells: DataFrame, digits: int =
     m = values.groupBy("sample_id", "gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).join(n, "sample_id").withColumn("mean", F.col("s") / F.col("cells"))
     # sum w (xi - m)(xj - m) = sum w xi xj - m (sum rw xi + sum cw xj) + m^2 W, over stored values only
     v = values.select("sample_id", "gene", "cell_id", "value")
-    cross = w.join(v.withColumnsRenamed({"cell_id": "src", "value": "a"}), ["sample_id", "src"]).join(v.withColumnsRenamed({"cell_id": "dst", "value": "b"}), ["sample_id", "dst", "gene"]).groupBy("sample_id", "gene").agg(F.sum(F.col("w") * F.col("a") * F.col("b")).alias("cross"))
+    book = v.groupBy("sample_id", "cell_id").agg(F.map_from_entries(F.collect_list(F.struct("gene", "value"))).alias("m"))
+    met = w.join(book.withColumnsRenamed({"cell_id": "src", "m": "ms"}), ["sample_id", "src"]).join(book.withColumnsRenamed({"cell_id": "dst", "m": "md"}), ["sample_id", "dst"])
+    met = met.select("sample_id", "w", "md", F.explode("ms").alias("gene", "a"))
+    cross = met.groupBy("sample_id", "gene").agg(F.sum(F.col("w") * F.col("a") * F.try_element_at("md", F.col("gene"))).alias("cross"))
     side = v.join(roww, ["sample_id", "cell_id"], "left").join(colw, ["sample_id", "cell_id"], "left").groupBy("sample_id", "gene").agg(F.sum(F.col("value") * (F.coalesce("rw", F.lit(0.0)) + F.coalesce("cw", F.lit(0.0)))).alias("side"))
     total = deg.groupBy("sample_id").agg(F.count("*").cast("double").alias("W"))
     j = m.join(side, ["sample_id", "gene"]).join(total, "sample_id").join(cross, ["sample_id", "gene"], "left")
@@ -191,8 +201,9 @@ def lisa(edges: DataFrame, cells: DataFrame, expr: DataFrame, gene: str, *, perm
     the gene is constant are left out.
     """
     z = materialise(_filled(cells, expr, gene))
-    sh = materialise(shuffled_labels(z, perms, seed=seed, value="z"))
-    lag = edges.join(sh.withColumnsRenamed({"cell_id": "dst", "value": "v"}), ["sample_id", "dst"]).groupBy("sample_id", "perm", F.col("src").alias("cell_id")).agg(F.avg("v").alias("lag"))
+    sh = materialise(_by_cell(shuffled_labels(z, perms, seed=seed, value="z")))
+    near = edges.join(sh.withColumnRenamed("cell_id", "dst"), ["sample_id", "dst"]).select("sample_id", F.col("src").alias("cell_id"), F.posexplode("values").alias("perm", "v"))
+    lag = near.groupBy("sample_id", "perm", "cell_id").agg(F.avg("v").alias("lag"))
     j = lag.join(z, ["sample_id", "cell_id"]).withColumn("i", F.col("z") * F.col("lag"))
     null = F.when(F.col("perm") > 0, F.col("i")).otherwise(0.0)
     g = j.groupBy("sample_id", "cell_id").agg(F.max("z").alias("z"), F.max(F.when(F.col("perm") == 0, F.col("lag"))).alias("lag"), F.max(F.when(F.col("perm") == 0, F.col("i"))).alias("i"), F.sum(null).alias("s"), F.sum(null * null).alias("q"))

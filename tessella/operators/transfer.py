@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import materialise
+
 
 def shared_panel(reference: DataFrame, target: DataFrame, *, least: int = 5) -> DataFrame:
     """Genes measured in both; raises if there are fewer than ``least``. J11."""
@@ -17,11 +19,12 @@ def shared_panel(reference: DataFrame, target: DataFrame, *, least: int = 5) ->
 
 
 def _vectors(expr: DataFrame, genes: DataFrame) -> DataFrame:
-    """(cell_id, g, v): ln(1 + raw / total * 1e4) over the shared genes."""
+    """(cell_id, g, v): hashes of the shared genes and ln(1 + raw / total * 1e4)."""
     e = expr.join(genes, "gene", "left_semi")
     total = F.sum("raw").over(Window.partitionBy("cell_id"))
     e = e.withColumn("t", total).filter("t > 0").select("cell_id", "gene", F.log1p(F.col("raw") / F.col("t") * 1e4).alias("v"))
-    return e.groupBy("cell_id").agg(F.collect_list(F.struct("gene", "v")).alias("e"))
+    e = e.groupBy("cell_id").agg(F.collect_list(F.struct(F.xxhash64("gene").alias("g"), "v")).alias("e"))
+    return e.select("cell_id", F.transform("e", lambda x: x["g"]).alias("g"), F.transform("e", lambda x: x["v"]).alias("v"))
 
 
 def nearest_references(reference: DataFrame, target: DataFrame, k: int, *, least: int = 5, block: int = 4096) -> DataFrame:
@@ -30,6 +33,7 @@ def nearest_references(reference: DataFrame, target: DataFrame, k: int, *, least
     Both are (cell_id, gene, raw).  Reference and target are cut into blocks by a hash and every
     pair of blocks is one matrix product, merged by rank; ties (to 1e-9 of d2) go to the smaller id.
     """
+    reference, target = (materialise(x.select("cell_id", "gene", "raw")) for x in (reference, target))
     genes = shared_panel(reference, target, least=least)
     anew = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  (both may come from one table)
     r, t = anew(_vectors(anew(reference), anew(genes))), anew(_vectors(anew(target), anew(genes)))
@@ -42,20 +46,26 @@ def nearest_references(reference: DataFrame, target: DataFrame, k: int, *, least
         none = pd.DataFrame({"cell_id": pd.Series([], dtype=object), "ref": pd.Series([], dtype=object), "d2": pd.Series([], dtype=float)})
         if not len(tp) or not len(rp):
             return none
-        names = sorted({x["gene"] for e in [*tp["e"], *rp["e"]] for x in e})
-        at = {g: i for i, g in enumerate(names)}
+        rp = rp.sort_values("cell_id")
+        names = np.unique(np.concatenate([*tp["g"], *rp["g"]]))
 
         def dense(p: pd.DataFrame) -> np.ndarray:
             m = np.zeros((len(p), len(names)))
-            for i, e in enumerate(p["e"]):
-                for x in e:
-                    m[i, at[x["gene"]]] = x["v"]
+            row = np.repeat(np.arange(len(p)), [len(x) for x in p["g"]])
+            m[row, np.searchsorted(names, np.concatenate(list(p["g"])))] = np.concatenate(list(p["v"]))
             return m
 
-        rp = rp.sort_values("cell_id")
         a, b = dense(tp), dense(rp)
         d2 = np.round(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0), 9)
-        top = np.argsort(d2, axis=1, kind="stable")[:, :k]
+        n = min(k, len(b))
+        if n < len(b):  # all that tie with the n-th nearest stay in until they are put in order
+            most = np.partition(d2, n - 1, axis=1)[:, n - 1]
+            wide = min(len(b), int((d2 <= most[:, None]).sum(axis=1).max()))
+            top = np.sort(np.argpartition(np.where(d2 <= most[:, None], d2, np.inf), wide - 1, axis=1)[:, :wide], axis=1)
+        else:
+            top = np.tile(np.arange(len(b)), (len(a), 1))
+        order = np.argsort(np.take_along_axis(d2, top, 1), axis=1, kind="stable")[:, :n]
+        top = np.take_along_axis(top, order, 1)
         return pd.DataFrame({"cell_id": np.repeat(tp["cell_id"].to_numpy(), top.shape[1]), "ref": rp["cell_id"].to_numpy()[top].ravel(), "d2": np.take_along_axis(d2, top, 1).ravel()})
 
     met = t.groupBy("tb", "rb").cogroup(r.groupBy("tb", "rb")).applyInPandas(near, "cell_id string, ref string, d2 double")
