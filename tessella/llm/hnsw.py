@@ -124,6 +124,7 @@ class FlatHNSW:
         b, n = len(q), len(links)
         x, deg = self.x, links.shape[1]
         seen = np.zeros((b, n), np.uint8)
+        flat = seen.reshape(-1)
         rows = np.arange(b)[:, None]
         ids = np.full((b, ef), -1, np.int64)
         sims = np.full((b, ef), -2, np.float32)
@@ -149,18 +150,17 @@ class FlatHNSW:
                 break
             node = np.where(can, ids[live[:, None], best], -1)
             done[live[:, None], best] = True
-            nb = np.where(node[:, :, None] >= 0, links[np.maximum(node, 0)], -1).reshape(len(live), -1)
-            r, c = np.nonzero(nb >= 0)
+            nb = np.where(can[:, :, None], links[node], -1).reshape(len(live), -1)
+            at = np.where(nb >= 0, live[:, None] * n + nb, 0)
+            r, c = np.nonzero((nb >= 0) & (flat[at] == 0))
             j = nb[r, c]
-            fresh = seen[live[r], j] == 0
-            r, j, c = r[fresh], j[fresh], c[fresh]
-            # a node met twice in this step counts once
-            code = r * n + j
-            _, one = np.unique(code, return_index=True)
+            # a node met twice in this step counts once: the mark of its last place stays
+            at = at[r, c]
+            flat[at] = c + 1
+            one = flat[at] == c + 1
             r, j, c = r[one], j[one], c[one]
-            seen[live[r], j] = 1
             s = np.einsum("ij,ij->i", x[j], q[live[r]])
-            good = s > sims[live[r]].min(axis=1)
+            good = s > sims[live].min(axis=1)[r]
             r, j, c, s = r[good], j[good], c[good], s[good]
             if not len(r):
                 continue

@@ -90,11 +90,12 @@ def pack(offsets: np.ndarray, feature: np.ndarray, weight: np.ndarray) -> list[b
 def packed_vectors(entries: DataFrame, key: str, feature: Column, weight: Column) -> DataFrame:
     """(key, vec) of every key with at least one positive weight, from one row per key and feature.
 
-    Repeated rows of a key and feature count once.  A key's entries meet in one task, so a key
-    should not have more features than fit there (here: the genes of a cell).
+    Repeated rows of a key and feature count once, and are folded before the shuffle, so a key
+    delivered any number of times takes no more room.  A key's distinct features meet in one
+    task, so they should fit there (here: the genes of a cell).
     """
     kind = entries.schema[key].dataType.simpleString()
-    lists = entries.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.collect_list(F.struct(F.xxhash64(feature).alias("f"), weight.cast("float").alias("w"))).alias("e"))
+    lists = entries.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.collect_set(F.struct(F.xxhash64(feature).alias("f"), weight.cast("float").alias("w"))).alias("e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
