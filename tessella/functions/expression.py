@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.identifiers import clean_id, finite, gene_name, is_expression
+from tessella.functions.identifiers import clean_id, finite, gene_name, raw_is_expression
 
 
 def expression_rows(expr: DataFrame) -> DataFrame:
@@ -15,11 +15,8 @@ def expression_rows(expr: DataFrame) -> DataFrame:
     whose raw or value is not finite or whose raw is not above 0.  Repeated deliveries are
     still in (see ``expression``).  Other columns of ``expr`` are not read.
     """
-    return (
-        expr.select("sample_id", clean_id("cell_id").alias("cell_id"), gene_name("gene").alias("gene"), "raw", "value")
-        .filter(finite("raw") & (F.col("raw") > 0) & finite("value"))
-        .filter(F.col("cell_id").isNotNull() & F.col("gene").isNotNull() & is_expression(F.col("gene")))
-    )
+    kept = expr.filter(finite("raw") & (F.col("raw") > 0) & finite("value") & raw_is_expression("gene"))
+    return kept.select("sample_id", clean_id("cell_id").alias("cell_id"), gene_name("gene").alias("gene"), "raw", "value").filter("cell_id is not null")
 
 
 def expression(expr: DataFrame) -> DataFrame:

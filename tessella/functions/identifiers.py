@@ -39,8 +39,10 @@ def clean_id(col: Column | str) -> Column:
 
 def gene_name(col: Column | str) -> Column:
     """Upper case, without the prefixes ``gene_`` and ``marker_``."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.upper(F.regexp_replace(c, "^(?i)(gene_)?(marker_)?", ""))
+    name = F.upper(F.col(col) if isinstance(col, str) else col)
+    for prefix in ("GENE_", "MARKER_"):
+        name = F.when(name.startswith(prefix), F.substring(name, len(prefix) + 1, 1 << 30)).otherwise(name)
+    return name
 
 
 def is_control(name: Column) -> Column:
@@ -53,6 +55,14 @@ def is_expression(name: Column) -> Column:
     return ~name.isin(*PSEUDO_FEATURES) & ~is_control(name)
 
 
+NO_EXPRESSION = "^(?i)(?:gene_)?(?:marker_)?(?:(?:" + "|".join(PSEUDO_FEATURES) + ")$|(?:" + "|".join(CONTROL_PREFIXES) + ")(?:$|[-_.0-9]))"
+
+
+def raw_is_expression(col: Column | str) -> Column:
+    """``is_expression`` of a name as delivered, by one pattern, so a filter need not make the name first."""
+    return ~(F.col(col) if isinstance(col, str) else col).rlike(NO_EXPRESSION)
+
+
 def finite(col: Column | str) -> Column:
     """True for numbers that are neither null, NaN nor infinite."""
     c = F.col(col) if isinstance(col, str) else col
