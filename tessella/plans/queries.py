@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions.cells import distinct_cells
 from tessella.operators.spatial_join import near_pairs, points_in_outlines
 from tessella.operators.units import positions_in_nm
-from tessella.plans import reference
+from tessella.plans import reference, review  # noqa: F401  (review adds its queries to those of reference)
 from tessella.sources.tables import table
 
 
