@@ -123,7 +123,7 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, item: str, n:
       ``n`` below 1, give no rows.
     """
     spark = df.sparkSession
-    buckets = buckets or 2 * shuffle_partitions(spark)
+    buckets = buckets or 8 * shuffle_partitions(spark)
     types = {g: df.schema[g].dataType.simpleString() for g in groups}
     kind = df.schema[item].dataType.simpleString()
     key = F.to_json(F.struct(*[F.col(g).cast("string").alias(f"g{i}") for i, g in enumerate(groups)]))
