@@ -37,12 +37,13 @@ def language_code(label: Column) -> Column:
 
 _CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 _END = re.compile(rf"(?<=[.!?])[\"'»”’)\]]*\s+|(?<=[。！？])|\n\s*\n")
-_CODE = re.compile(r"\S*[\d_=@<>{}|\\/#]\S*")
+_CODE = re.compile(r"(?<!\S)[^\s\d_=@<>{}|\\/#]*[\d_=@<>{}|\\/#]\S*")
 _KEEP_CJK = re.compile(rf"[A-Za-z0-9_=.,]+")
 _RUN = re.compile(rf"[{_CJK}]+|[^\W\d_{_CJK}]+(?:['’][^\W\d_{_CJK}]+)*")
 _CJK_ONE = re.compile(f"[{_CJK}]")
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&[a-z]{2,6};|\\\\[nrt]")
 _BROKEN = re.compile(r"(?<=\w)-[ \t]*\r?\n[ \t]*(?:>[ \t]*)*(?=\w)")
+_CAPITALS = re.compile("[A-ZÀ-ÞΑ-ΩА-Я]{2}")
 _LATIN, _OTHER = re.compile("[a-zA-Z]"), re.compile("[Ͱ-ӿ]")
 _INVISIBLE = re.compile("[­​-‏ -‮⁠-⁤﻿]")
 
@@ -75,9 +76,14 @@ def words_of(part: str) -> tuple[list[str], int, int]:
     part = _BROKEN.sub("", part)
     marks = len(_CJK_ONE.findall(part)) if not part.isascii() else 0
     part = _KEEP_CJK.sub(" ", part) if marks >= 8 else _CODE.sub(" ", part)
-    words = _RUN.findall(part)
-    shouted = sum(map(len, words)) < 2 * sum(len(w) for w in words if w.isupper())
-    words = [w.lower() for w in words if (shouted or not (len(w) > 1 and w.isascii() and w.isupper())) and not (_LATIN.search(w) and _OTHER.search(w))]
+    if _CAPITALS.search(part):
+        words = _RUN.findall(part)
+        shouted = sum(map(len, words)) < 2 * sum(len(w) for w in words if w.isupper())
+        words = [w.lower() for w in words if shouted or not (len(w) > 1 and w.isascii() and w.isupper())]
+    else:
+        words = _RUN.findall(part.lower())
+    if not part.isascii() and _OTHER.search(part) and _LATIN.search(part):
+        words = [w for w in words if not (_LATIN.search(w) and _OTHER.search(w))]
     return words, sum(map(len, words)), marks
 
 
@@ -240,7 +246,7 @@ def learn(labelled: DataFrame, *, text: str = "text", label: str = "lang", per_l
 _SEGMENTS = "d {kind}, segment int, start int, stop int, lang string, confidence double, sentence boolean"
 
 
-def segment_languages(documents: DataFrame, model: PPM, *, doc: str = "doc_id", text: str = "text", slice_chars: int = 2_000_000) -> DataFrame:
+def segment_languages(documents: DataFrame, model: PPM, *, doc: str = "doc_id", text: str = "text", slice_chars: int = 500_000) -> DataFrame:
     """Language and confidence of every segment: (doc, segment, start, stop, lang, confidence, sentence).
 
     A segment takes another language than its neighbours only for a gain of 24 bits, so names and
