@@ -8,6 +8,7 @@ graph with flat neighbour arrays (``hnsw``); candidates are compared exactly bef
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,8 +63,15 @@ def _close(block: Block, a: np.ndarray, b: np.ndarray, s: np.ndarray, least: flo
     return x[good], y[good], s[good]
 
 
-def _plan(vectors: DataFrame, shard_rows: int) -> dict[int, tuple[int, int]]:
-    """First shard and number of shards of every drawn feature; no more features than genes come to the driver."""
+DEEPEST = 6
+
+
+def _plan(vectors: DataFrame, shard_rows: int) -> dict[int, tuple[int, int, int]]:
+    """First shard, number of shards and further draws of every drawn feature.
+
+    No more features than there are genes come to the driver.  A crowded feature is split by
+    further draws, one more for every eightfold, so shards stay near ``shard_rows`` at any size.
+    """
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,7 +84,7 @@ def _plan(vectors: DataFrame, shard_rows: int) -> dict[int, tuple[int, int]]:
     for r in counts:
         if r.n > 1.5 * shard_rows:  # a crowded feature has shards of its own
             splits = -(-r.n // shard_rows)
-            plan[r.f] = (total, splits)
+            plan[r.f] = (total, splits, min(DEEPEST - 1, math.ceil(math.log(splits, 8))))
             loads += [shard_rows] * splits
             total += splits
     small = [r for r in counts if r.f not in plan]
@@ -85,7 +93,7 @@ def _plan(vectors: DataFrame, shard_rows: int) -> dict[int, tuple[int, int]]:
     for r in small:
         at = level.index(min(level))
         level[at] += r.n
-        plan[r.f] = (total + at, 1)
+        plan[r.f] = (total + at, 1, 0)
     return plan
 
 
@@ -107,15 +115,19 @@ def similar(
     v = v.select("k", "vec", F.col("k").alias("rep")) if none else materialise(v.join(copies, "m", "left").select("k", "vec", F.coalesce("rep", "k").alias("rep")))
     unique = v.filter("k = rep").select("k", "vec")
     plan = _plan(unique, shard_rows)
-    shards = 1 + max((s + n - 1 for s, n in plan.values()), default=0)
+    shards = 1 + max((s + n - 1 for s, n, _ in plan.values()), default=0)
+    draws = 1 + max((d for *_, d in plan.values()), default=0)
     everywhere = queries is not None
     asking = v.join(queries.select(F.col(key).alias("k")).distinct(), "k", "left_semi").select("rep").distinct().withColumnRenamed("rep", "k").join(unique, "k") if everywhere else None
     shared = v.sparkSession.sparkContext.broadcast(plan)
 
     def place(block: Block) -> np.ndarray:
-        d = bucket_features(block, 2)
-        first, splits = np.array([shared.value.get(f, (0, 1)) for f in d[:, 0].tolist()]).reshape(-1, 2).T
-        return first + (_mix(d[:, 1].astype(np.uint64)) % splits.astype(np.uint64)).astype(np.int64)
+        d = bucket_features(block, draws)
+        first, splits, depth = np.array([shared.value.get(f, (0, 1, 0)) for f in d[:, 0].tolist()]).reshape(-1, 3).T
+        h = np.zeros(len(d), np.uint64)
+        for i in range(1, draws):
+            h = np.where(i <= depth, _mix(h + d[:, i].astype(np.uint64)), h)
+        return first + (h % splits.astype(np.uint64)).astype(np.int64)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

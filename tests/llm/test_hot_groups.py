@@ -41,3 +41,15 @@ def test_hot_group_and_hot_link(spark):
     assert g.groupBy("group").count().agg(F.max("count")).first()[0] == 300
     s = {r.split: r["count"] for r in linked_split.assign_splits(g, "id", ["train", "validation", "test"], [0.8, 0.1, 0.1]).groupBy("split").count().collect()}
     assert s == {"train": 720, "validation": 90, "test": 90}
+
+
+def test_crowded_buckets_are_divided(spark):
+    """Tiny limits force further draws; copies and close groups are still found."""
+    rows = [(f"g{g}_{i}", f"F{g}_{f}", 4.0 + 0.01 * ((i * 7 + f * 3) % 5)) for g in range(5) for i in range(40) for f in range(6)]
+    v = vectors(spark, rows)
+    links = birch.leaf_links(birch.cf_leaves(v.withColumnRenamed("cell_id", "k"), reach=0.99999), crowd=4)
+    ends = links.select(F.split("a", "_")[0].alias("a"), F.split("b", "_")[0].alias("b"))
+    assert links.count() > 0 and ends.filter("a <> b").count() == 0
+    near = similar.similar(v, 3, min_similarity=0.9, shard_rows=8)
+    ends = near.select(F.split("a", "_")[0].alias("a"), F.split("b", "_")[0].alias("b"))
+    assert near.select("a").distinct().count() >= 190 and ends.filter("a <> b").count() == 0
