@@ -7,8 +7,10 @@ rows under an md5 order, so they are the same for any partitioning.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,27 +114,114 @@ def enrichment(edges: DataFrame, cells: DataFrame, *, perms: int = 20, seed: str
     return g.filter(var > 1e-9).select("sample_id", "a", "b", o.alias("n"), F.bround((o - mean) / F.sqrt(var), 6).alias("z"))
 
 
-def robustness(settings: dict[str, DataFrame], *, top: int = 10) -> DataFrame:
-    """(setting, sign, jaccard): agreement of each setting's z with the first's. P2.
+def permutation(n: int, seed: str, group: str, perm: int) -> np.ndarray:
+    """Order of ``n`` rows under permutation ``perm`` of a group, drawn from an md5 of the three; 0 leaves them as they are."""
+    if not perm:
+        return np.arange(n)
+    return np.random.default_rng(int(hashlib.md5(f"{seed}|{group}|{perm}".encode()).hexdigest(), 16)).permutation(n)
 
-    ``settings``: (a, b, z) by name; the first is the reference.
+
+def _numbered(cells: DataFrame, part_cells: int) -> DataFrame:
+    """Adds i, the cell's place in its sample by id, and parts, the tasks the sample is dealt to."""
+    w = Window.partitionBy("sample_id")
+    return cells.withColumn("i", F.row_number().over(w.orderBy("cell_id")) - 1).withColumn("parts", F.ceil(F.count("*").over(w) / F.lit(part_cells)).cast("int"))
+
+
+def enrichment_settings(graphs: dict[str, DataFrame], cells: DataFrame, *, perms: int = 250, seed: str = "0", part_cells: int = 50_000) -> DataFrame:
+    """(sample_id, setting, a, b, n, z): ``enrichment`` on several graphs under the same permutations.
+
+    Edges travel as two numbers; a task holds the labels of one sample and the edges of at most
+    ``part_cells`` of its cells, and counts one permutation after the other.
     """
-    names = list(settings)
-    ranked = {}
-    for n in names:
-        df = settings[n].select("a", "b", "z")
-        ranked[n] = df.withColumn("r", F.row_number().over(Window.orderBy(F.desc(F.abs("z")), "a", "b")))
-    ref = ranked[names[0]]
-    out = None
-    for n in names[1:]:
-        j = ref.join(ranked[n].select("a", "b", F.col("z").alias("z2"), F.col("r").alias("r2")), ["a", "b"], "full")
-        in1, in2 = F.coalesce(F.col("r") <= top, F.lit(False)), F.coalesce(F.col("r2") <= top, F.lit(False))
-        row = j.agg(
-            F.bround(F.try_divide(F.count_if(F.signum("z") == F.signum("z2")), F.count_if(F.col("z").isNotNull() & F.col("z2").isNotNull())), 4).alias("sign"),
-            F.bround(F.try_divide(F.count_if(in1 & in2), F.count_if(in1 | in2)), 4).alias("jaccard"),
-        ).select(F.lit(n).alias("setting"), "sign", "jaccard")
-        out = row if out is None else out.union(row)
-    return out.withColumn("score", F.bround(0.6 * F.col("sign") + 0.4 * F.col("jaccard"), 4))
+    lab = materialise(_numbered(cells.filter("cell_type is not null and sample_id is not null").select("sample_id", "cell_id", "cell_type"), part_cells))
+    edges = None
+    for name, g in graphs.items():
+        e = g.select("sample_id", "src", "dst", F.lit(name).alias("setting"))
+        edges = e if edges is None else edges.union(e)
+    ends = lambda end, n: lab.select("sample_id", F.col("cell_id").alias(end), F.col("i").alias(n), *(["parts"] if n == "i" else []))
+    edges = edges.join(ends("src", "i"), ["sample_id", "src"]).join(ends("dst", "j"), ["sample_id", "dst"]).select("sample_id", F.expr("i % parts").alias("part"), "setting", "i", "j")
+    every = lab.select("sample_id", "i", "cell_type", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    kind = "sample_id string, setting string, a string, b string, counts array<long>"
+
+    def count(e: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(e):
+            names, code = np.unique(c.sort_values("i")["cell_type"].to_numpy(dtype=object), return_inverse=True)
+            k, sample = len(names), e["sample_id"].iloc[0]
+            for setting, own in e.groupby("setting", sort=True):
+                i, j = own["i"].to_numpy(), own["j"].to_numpy()
+                n = np.empty((perms + 1, k * k), np.int64)
+                for p in range(perms + 1):
+                    v = code[permutation(len(code), seed, sample, p)]
+                    n[p] = np.bincount(v[i] * k + v[j], minlength=k * k)
+                n = n.reshape(-1, k, k)
+                n = n + np.where(np.eye(k, dtype=bool), 0, n.transpose(0, 2, 1))
+                out += [(sample, setting, names[a], names[b], n[:, a, b]) for a in range(k) for b in range(a, k) if n[:, a, b].any()]
+        return pd.DataFrame(out, columns=["sample_id", "setting", "a", "b", "counts"])
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (a, b), own in pdf.groupby(["a", "b"]):
+            n = np.sum(np.stack(own["counts"].to_list()), axis=0)
+            mean, var = n[1:].mean(), (n[1:].astype(float) ** 2).mean() - n[1:].mean() ** 2
+            if var > 1e-9:
+                out.append((pdf["sample_id"].iloc[0], pdf["setting"].iloc[0], a, b, int(n[0]), round(float((n[0] - mean) / np.sqrt(var)), 6)))
+        return pd.DataFrame(out, columns=["sample_id", "setting", "a", "b", "n", "z"])
+
+    n = edges.groupBy("sample_id", "part").cogroup(every.groupBy("sample_id", "part")).applyInPandas(count, kind)
+    return n.groupBy("sample_id", "setting").applyInPandas(score, "sample_id string, setting string, a string, b string, n long, z double")
+
+
+def distance_band(cells: DataFrame, nearest: DataFrame, *, times: float = 3.0) -> DataFrame:
+    """(sample_id, src, dst): edges within ``times`` the sample's median nearest-neighbour distance. P2.
+
+    ``nearest``: (sample_id, d2), one row a cell.  Samples whose median is 0 have no band.
+    """
+    r = nearest.groupBy("sample_id").agg((F.percentile(F.sqrt("d2"), 0.5) * times).alias("r")).filter("r > 0")
+    c = cells.join(r, "sample_id").select("sample_id", "cell_id", (F.col("x") / F.col("r")).alias("x"), (F.col("y") / F.col("r")).alias("y"))
+    return radius_edges(c, 1.0).select("sample_id", "src", "dst")
+
+
+def robustness(scored: DataFrame, samples: DataFrame, knn: list[str], *, band: str = "band", top: int = 10) -> DataFrame:
+    """Per sample, agreement of the settings' z with the first's. P2.
+
+    ``scored``: (sample_id, setting, a, b, z); ``samples``: sample_id; ``knn``: the settings, the
+    reference first.  A row for each later setting and for the band, and one, ``knn``, with the means
+    over the neighbour settings and ``pairs``, the stability of the reference's ``top`` pairs by abs(z).
+    Signs are compared over these pairs where the other setting has them.  A row is
+    insufficient_settings where one of its settings has no pair (``knn``: fewer than two have).
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        sample, out = pdf["sample_id"].iloc[0], []
+        maps = {s: {(r.a, r.b): r.z for r in own.itertuples()} for s, own in pdf[pdf["setting"].notna()].groupby("setting")}
+        best = {s: sorted(m, key=lambda p: (-abs(m[p]), p))[:top] for s, m in maps.items()}
+
+        def compare(first: str, other: str) -> tuple[float, float]:
+            met = [p for p in best[first] if p in maps[other]]
+            both, either = set(best[first]) & set(best[other]), set(best[first]) | set(best[other])
+            return sum((maps[first][p] > 0) == (maps[other][p] > 0) for p in met) / max(len(met), 1), len(both) / len(either)
+
+        def row(setting: str, n: int, signs: list[tuple[float, float]], pairs: list[dict]) -> tuple:
+            if not signs:
+                return (sample, setting, "insufficient_settings", n, None, None, 0.0, [])
+            sign, jaccard = (sum(v) / len(signs) for v in zip(*signs, strict=True))
+            return (sample, setting, "computed", n, round(sign, 4), round(jaccard, 4), round(0.6 * sign + 0.4 * jaccard, 4), pairs)
+
+        has = [s for s in knn if s in maps]
+        first, pairs = has[0] if has else None, []
+        for a, b in best[first] if first else []:
+            z, met = maps[first][a, b], [maps[s][a, b] for s in has if (a, b) in maps[s]]
+            pairs.append({"a": a, "b": b, "z": z, "settings": len(met), "sign": round(sum((z > 0) == (v > 0) for v in met) / len(met), 4), "presence": round(sum((a, b) in best[s] for s in has) / len(has), 4)})
+        out.append(row("knn", len(has), [compare(first, s) for s in has[1:]], pairs))
+        for s in [*knn[1:], band]:
+            ok = first is not None and s in maps and s != first
+            out.append(row(s, 1 + ok if first else int(s in maps), [compare(first, s)] if ok else [], []))
+        return pd.DataFrame(out, columns=["sample_id", "setting", "status", "settings", "sign", "jaccard", "score", "pairs"])
+
+    none = samples.select("sample_id", *[F.lit(None).cast(t).alias(c) for c, t in (("setting", "string"), ("a", "string"), ("b", "string"), ("z", "double"))])
+    kind = "sample_id string, setting string, status string, settings int, sign double, jaccard double, score double, pairs array<struct<a: string, b: string, z: double, settings: int, sign: double, presence: double>>"
+    return scored.select("sample_id", "setting", "a", "b", "z").union(none.distinct()).groupBy("sample_id").applyInPandas(one, kind)
 
 
 def _morans(edges: DataFrame, values: DataFrame, cells: DataFrame, digits: int = 6) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions.identifiers import clean_id, gene_name
 from tessella.operators import graph, labels, points, quality, reliability, summaries
 from tessella.plans.base import CELLS, CLUSTERED, EXPRESSION, KNN, cells, clustered, genes, positioned, with_
+from tessella.session import materialise
 from tessella.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -596,10 +597,11 @@ def ripley_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def enrichment_robustness(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sample's settings against k = 6, under 250 permutations. P2."""
     c = positioned(spark, folder)
-    first = c.agg(F.min("sample_id")).first()[0]
-    c = c.filter(F.col("sample_id") == first)
-    return graph.robustness({f"k{k}": graph.enrichment(graph.knn_edges(c, k), c) for k in (6, 10, 15)})
+    near = materialise(graph.knn_edges(c, 15))
+    graphs = {f"k{k}": near.filter(F.col("rank") <= k) for k in (6, 10, 15)} | {"band": graph.distance_band(c, near.filter("rank = 1"))}
+    return graph.robustness(graph.enrichment_settings(graphs, c), c.filter("sample_id is not null").select("sample_id"), ["k6", "k10", "k15"])
 
 
 # --- transfer, reliability, control -----------------------------------------------------------

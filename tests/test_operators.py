@@ -161,3 +161,32 @@ def test_stream_counts_redeliveries_once(spark, small, tmp_path):
     finally:
         q.stop()
     assert total == spark.read.parquet(f"{small}/spots.parquet").select("cell_id").distinct().count()
+
+
+def test_robustness_of_every_sample(spark):
+    z = [("s", "k6", "a", "a", 5.0), ("s", "k6", "a", "b", -4.0), ("s", "k6", "b", "b", 1.0), ("s", "k10", "a", "a", 3.0), ("s", "k10", "a", "b", 2.0), ("s", "k10", "b", "b", 1.0)]
+    z += [("t", "k6", "a", "a", 5.0), ("t", "k6", "a", "b", -4.0), ("t", "k10", "a", "a", 3.0), ("t", "k10", "b", "b", 9.0), ("t", "k10", "a", "b", -1.0), ("t", "band", "a", "a", -3.0)]
+    samples = spark.createDataFrame([("s",), ("t",), ("u",)], "sample_id string")
+    got = {(r.sample_id, r.setting): r for r in graph.robustness(spark.createDataFrame(z, "sample_id string, setting string, a string, b string, z double"), samples, ["k6", "k10"], top=2).collect()}
+    assert {k: (r.sign, r.jaccard, r.score) for k, r in got.items()} == {
+        ("s", "knn"): (0.5, 1.0, 0.7), ("s", "k10"): (0.5, 1.0, 0.7), ("s", "band"): (None, None, 0.0),
+        ("t", "knn"): (1.0, 0.3333, 0.7333), ("t", "k10"): (1.0, 0.3333, 0.7333), ("t", "band"): (0.0, 0.5, 0.2),
+        ("u", "knn"): (None, None, 0.0), ("u", "k10"): (None, None, 0.0), ("u", "band"): (None, None, 0.0),
+    }
+    assert [tuple(p) for p in got["t", "knn"].pairs] == [("a", "a", 5.0, 2, 1.0, 1.0), ("a", "b", -4.0, 2, 1.0, 0.5)]
+
+
+def test_enrichment_of_settings_counts_as_enrichment(spark, small):
+    from tessella.plans import queries
+    from tessella.plans.base import positioned
+
+    c = positioned(spark, small)
+    edges = graph.knn_edges(c, 6).cache()
+    want = {(r.sample_id, r.a, r.b): r for r in graph.enrichment(edges, c, perms=100).collect()}
+    got = {(r.sample_id, r.a, r.b): r for r in graph.enrichment_settings({"k6": edges}, c, perms=100, part_cells=30).collect()}
+    both = want.keys() & got.keys()
+    assert len(both) > 0.9 * len(want.keys() | got.keys()) and all(want[k].n == got[k].n for k in both)
+    assert np.corrcoef([want[k].z for k in both], [got[k].z for k in both])[0, 1] > 0.9
+    every = {r.sample_id for r in c.select("sample_id").distinct().collect()}
+    rows = queries.QUERIES["enrichment_robustness"](spark, small).collect()
+    assert {(r.sample_id, r.setting) for r in rows} == {(s, k) for s in every for k in ("knn", "k10", "k15", "band")}
