@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.identifiers import finite
 from tessella.operators.spatial_join import near_pairs
-from tessella.session import materialise
+from tessella.session import materialise, shuffle_partitions
 
 
 def radius_edges(cells: DataFrame, radius: float) -> DataFrame:
@@ -51,6 +51,7 @@ def knn_edges(cells: DataFrame, k: int, *, targets: DataFrame | None = None, rou
         q = at(ask).withColumn("s", F.explode(steps)).select("sample_id", F.col("cell_id").alias("src"), F.col("x").alias("qx"), F.col("y").alias("qy"), "side", "span", (F.col("sx") + F.col("s.a")).alias("sx"), (F.col("sy") + F.col("s.b")).alias("sy"))
         d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
         met = q.join(at(t).select("sample_id", F.col("cell_id").alias("dst"), "x", "y", "sx", "sy"), ["sample_id", "sx", "sy"]).filter("src <> dst").withColumn("d2", d2)
+        met = met.filter((F.col("d2") <= F.col("side") * F.col("side") * (1 + 1e-9)) | (F.col("side") >= F.col("span")))  # no farther one can settle a cell
         top = met.withColumn("rank", F.row_number().over(Window.partitionBy("sample_id", "src").orderBy("d2", "dst"))).filter(F.col("rank") <= k)
         top = materialise(top.select("sample_id", "src", "dst", "d2", "rank", "side", "span"))
         last = top.groupBy("sample_id", "src").agg(F.max("rank").alias("got"), F.max("d2").alias("far"), F.max("side").alias("side"), F.max("span").alias("span"))
@@ -283,9 +284,9 @@ def _lag(edges: DataFrame, z: DataFrame) -> DataFrame:
 
 
 def lisa(edges: DataFrame, cells: DataFrame, expr: DataFrame, gene: str, *, perms: int = 19, seed: str = "0") -> DataFrame:
-    """(sample_id, cell_id, i, zscore, quadrant) of one gene. P6.
+    """(sample_id, cell_id, i, zscore, quadrant) of one gene: the z-scores of P6, without its test.
 
-    i = z * lag; the null keeps z and shuffles the values over positions; zscore is (i - mean) /
+    ``lisa_classes`` is the whole of P6.  i = z * lag; the null keeps z and shuffles the values over positions; zscore is (i - mean) /
     sd over the permutations, 0 where sd is 0; quadrants use strict signs.  Samples in which
     the gene is constant are left out.
     """
@@ -302,6 +303,59 @@ def lisa(edges: DataFrame, cells: DataFrame, expr: DataFrame, gene: str, *, perm
     return g.select("sample_id", "cell_id", F.bround("i", 6).alias("i"), F.bround(F.when(sd > 1e-9, (F.col("i") - mean) / sd).otherwise(0.0), 4).alias("zscore"), quad.alias("quadrant"))
 
 
+def lisa_classes(edges: DataFrame, cells: DataFrame, expr: DataFrame, genes: list[str], *, perms: int = 999, alpha: float = 0.05, seed: str = "0", part_cells: int = 50_000) -> DataFrame:
+    """(sample_id, cell_id, gene, i, zscore, p, p_adj, class) of several genes. P6.
+
+    i = z * lag; the null keeps a cell's z and shuffles the sample's values over positions, ``perms``
+    times (99 at least), with the same permutations for every gene; p is that of the z-score, p_adj by sample and gene;
+    class is the quadrant, or not-significant where p_adj is over ``alpha``.  Genes constant in a
+    sample are left out there.  A task holds the values of one sample and the neighbours of at most ``part_cells`` of its cells.
+    """
+    perms = max(99, perms)
+    spark = cells.sparkSession
+    book = expr.filter(F.col("gene").isin(genes)).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("gene", "value"))).alias("m"))
+    c = cells.filter("sample_id is not null").select("sample_id", "cell_id").join(book, "cell_id", "left")
+    c = c.select("sample_id", "cell_id", F.array(*[F.coalesce(F.try_element_at("m", F.lit(g)), F.lit(0.0)) for g in genes]).alias("v"))
+    c = materialise(_numbered(c, part_cells))
+    ends = lambda end, n: c.select("sample_id", F.col("cell_id").alias(end), F.col("i").alias(n))
+    near = edges.select("sample_id", "src", "dst").join(ends("src", "i"), ["sample_id", "src"]).join(ends("dst", "j"), ["sample_id", "dst"]).groupBy("sample_id", "i").agg(F.array_sort(F.collect_list("j")).alias("near"))
+    own = c.select("sample_id", F.expr("i % parts").alias("part"), "i", "cell_id").join(near, ["sample_id", "i"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<int>")))
+    every = c.select(F.col("sample_id").alias("sample_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("i").alias("i"), "v")
+
+    def score(o: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(e.sort_values("i")["v"].to_list())
+        sample, n, sd = e["sample_id"].iloc[0], len(v), v.std(axis=0)
+        used = np.flatnonzero(sd > 1e-9)
+        z = np.vstack([(v[:, used] - v[:, used].mean(axis=0)) / sd[used], np.zeros(len(used))])  # the last row for missing neighbours
+        at, deg = o["i"].to_numpy(), o["near"].map(len).to_numpy()
+        hood = np.full((len(o), max(deg.max(), 1)), n)
+        hood[np.arange(hood.shape[1]) < deg[:, None]] = np.concatenate(o["near"].to_list())
+        hood, deg = np.ascontiguousarray(hood.T), np.maximum(deg, 1)[:, None]
+
+        def lag(w: np.ndarray) -> np.ndarray:
+            total = w[hood[0]]
+            for h in hood[1:]:
+                total += w[h]
+            return total / deg
+
+        seen, s, q = lag(z), np.zeros((len(o), len(used))), np.zeros((len(o), len(used)))
+        for p in range(1, perms + 1):
+            got = lag(z[np.r_[permutation(n, seed, sample, p), n]])
+            s += got
+            q += got * got
+        mean, x = s / perms, z[at]
+        spread = np.abs(x) * np.sqrt(np.maximum(q / perms - mean * mean, 0.0))
+        score = np.where(spread > 1e-9, x * (seen - mean) / np.where(spread > 1e-9, spread, 1.0), 0.0)
+        quad = np.where(x > 0, np.where(seen > 0, "high-high", "high-low"), np.where(seen > 0, "low-high", "low-low"))
+        return pd.concat([pd.DataFrame({"sample_id": sample, "cell_id": o["cell_id"].to_numpy(), "gene": genes[g], "i": x[:, k] * seen[:, k], "zscore": score[:, k], "quadrant": quad[:, k]}) for k, g in enumerate(used)] or [pd.DataFrame(columns=["sample_id", "cell_id", "gene", "i", "zscore", "quadrant"])])
+
+    by, parts = ["sample_id", "part"], shuffle_partitions(spark)
+    g = own.repartition(parts, *by).groupBy(*by).cogroup(every.repartition(parts, *by).groupBy(*by)).applyInPandas(score, "sample_id string, cell_id string, gene string, i double, zscore double, quadrant string")
+    g = benjamini_hochberg(materialise(g).withColumn("p", two_sided_p(F.col("zscore"))), by=["sample_id", "gene"], key="cell_id")
+    kind = F.when(F.col("p_adj") <= alpha, F.col("quadrant")).otherwise("not-significant")
+    return g.select("sample_id", "cell_id", "gene", F.bround("i", 6).alias("i"), F.bround("zscore", 4).alias("zscore"), "p", "p_adj", kind.alias("class"))
+
+
 def lees_l(edges: DataFrame, cells: DataFrame, expr: DataFrame, a: str, b: str) -> DataFrame:
     """(sample_id, l, pearson, verdict) of two genes; verdict by 0.05. P7."""
     za, zb = _filled(cells, expr, a), _filled(cells, expr, b)
@@ -313,13 +367,13 @@ def lees_l(edges: DataFrame, cells: DataFrame, expr: DataFrame, a: str, b: str)
     return j.select("sample_id", F.bround(l_, 6).alias("l"), F.bround(F.col("zz") / F.col("n"), 6).alias("pearson"), F.when(l_ > 0.05, "together").when(l_ < -0.05, "apart").otherwise("independent").alias("verdict"))
 
 
-def benjamini_hochberg(rows: DataFrame, p: str = "p", *, by: str | None = None, key: str = "gene") -> DataFrame:
+def benjamini_hochberg(rows: DataFrame, p: str = "p", *, by: str | list[str] | None = None, key: str = "gene") -> DataFrame:
     """Adds ``p_adj``: p n / rank, least over the larger ones, at most 1. P15, W4.
 
     Without ``by`` all rows are one family and one window; families of that size (genes of a
-    panel) are meant.
+    panel, cells of a sample) are meant.
     """
-    fam = [by] if by else [F.lit(1)]
+    fam = [F.lit(1)] if not by else [by] if isinstance(by, str) else by
     n = F.count("*").over(Window.partitionBy(*fam))
     r = F.row_number().over(Window.partitionBy(*fam).orderBy(p, key))
     q = rows.withColumn("__q", F.col(p) * n / r)
@@ -342,13 +396,14 @@ def two_sided_p(z: Column) -> Column:
     return erfc(F.abs(z) / F.sqrt(F.lit(2.0)))
 
 
-def hotspot_regions(lisas: dict[str, DataFrame]) -> DataFrame:
-    """(sample_id, cell_id, gene, hits): the first gene, in the given order, whose hotspot a cell is in. P18, P19."""
-    out = None
-    for i, (gene, df) in enumerate(lisas.items()):
-        part = df.filter((F.col("quadrant") == "high-high") & (F.col("zscore") >= 2)).select("sample_id", "cell_id", F.lit(i).alias("o"), F.lit(gene).alias("gene"))
-        out = part if out is None else out.union(part)
-    return out.groupBy("sample_id", "cell_id").agg(F.min_by("gene", "o").alias("gene"), F.count("*").alias("hits"))
+def hotspot_regions(classes: DataFrame, genes: list[str], *, least: int = 100) -> DataFrame:
+    """(sample_id, cell_id, gene, hits): the first gene, in the given order, whose hotspot a cell is in. P18, P19.
+
+    ``classes``: of ``lisa_classes``.  A sample's region of fewer than ``least`` cells is left out.
+    """
+    order = F.array_position(F.array(*[F.lit(g) for g in genes]), F.col("gene"))
+    hot = classes.filter("class = 'high-high'").groupBy("sample_id", "cell_id").agg(F.min_by("gene", order).alias("gene"), F.count("*").alias("hits"))
+    return hot.withColumn("n", F.count("*").over(Window.partitionBy("sample_id", "gene"))).filter(F.col("n") >= least).drop("n")
 
 
 def region_overlap(cells: DataFrame) -> DataFrame:

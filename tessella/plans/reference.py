@@ -683,11 +683,17 @@ def spatial_domains(spark: SparkSession, folder: str) -> DataFrame:
     return domains(positioned(spark, folder), 60.0)
 
 
+@query()
+def local_moran_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every cell's class under the first 8 genes: 18 neighbours, 999 permutations. P6."""
+    c = positioned(spark, folder)
+    return graph.lisa_classes(graph.knn_edges(c, 18), c, genes(spark, folder), list(GENES[:8]))
+
+
 @query()
 def hotspot_regions(spark: SparkSession, folder: str) -> DataFrame:
-    c, e = positioned(spark, folder), genes(spark, folder)
-    edges = graph.knn_edges(c, 18)
-    return graph.hotspot_regions({g: graph.lisa(edges, c, e, g) for g in GENES[:3]})
+    """Regions of the first 8 genes' significant high-high cells. P18."""
+    return graph.hotspot_regions(local_moran_classes(spark, folder), list(GENES[:8]))
 
 
 @query()

@@ -190,3 +190,32 @@ def test_enrichment_of_settings_counts_as_enrichment(spark, small):
     every = {r.sample_id for r in c.select("sample_id").distinct().collect()}
     rows = queries.QUERIES["enrichment_robustness"](spark, small).collect()
     assert {(r.sample_id, r.setting) for r in rows} == {(s, k) for s in every for k in ("knn", "k10", "k15", "band")}
+
+
+def test_hotspots_are_significant(spark):
+    rng = np.random.default_rng(1)
+    xy = rng.uniform(0, 400, (1200, 2))
+    c = spark.createDataFrame([("s", f"c{i:04}", float(x), float(y), None, None) for i, (x, y) in enumerate(xy)], CELLS)
+    rows = [(f"c{i:04}", g, float(v)) for i, (x, y) in enumerate(xy) for g, v in (("STRIPE", (8.0 if 160 < y < 240 else 0.2) + abs(rng.normal(0, 0.3))), ("NOISE", 5 + rng.normal()), ("FLAT", 1.0))]
+    e = spark.createDataFrame(rows, "cell_id string, gene string, value double")
+    edges = graph.knn_edges(c, 18).cache()
+    order = ["NOISE", "STRIPE", "FLAT"]
+    k = graph.lisa_classes(edges, c, e, order, perms=199, part_cells=500).cache()
+    assert {r.gene: r["count"] for r in k.groupBy("gene").count().collect()} == {"NOISE": 1200, "STRIPE": 1200}
+    pdf = k.toPandas()
+    z = {g: np.array([v for _, h, v in rows if h == g]) for g in order[:2]}
+    near = np.argsort(((xy[:, None] - xy[None]) ** 2).sum(-1) + np.diag(np.full(1200, np.inf)), axis=1)[:, :18]
+    for g, own in pdf.groupby("gene"):
+        own, x = own.sort_values("cell_id"), (z[g] - z[g].mean()) / z[g].std()
+        assert np.allclose(own["i"], x * x[near].mean(axis=1), atol=1e-5)
+        # the moments that permutations without end would give
+        assert np.corrcoef(own["zscore"], np.sign(x) * x[near].mean(axis=1) / np.sqrt((1200 - 18) / 18 / 1199))[0, 1] > 0.99
+        p = own["p"].to_numpy()
+        o = np.argsort(p)
+        adj = np.empty(1200)
+        adj[o] = np.minimum(np.minimum.accumulate((p[o] * 1200 / np.arange(1, 1201))[::-1])[::-1], 1)
+        assert np.allclose(own["p_adj"], adj) and ((own["p_adj"] <= 0.05) == (own["class"] != "not-significant")).all()
+    raw = pdf[(pdf["gene"] == "NOISE") & (pdf["zscore"] >= 2)]
+    hot = graph.hotspot_regions(k, order, least=5).toPandas()
+    assert len(raw) > 10 and set(hot["gene"]) == {"STRIPE"} and len(hot) > 50
+    assert graph.hotspot_regions(k, order, least=5000).count() == 0
