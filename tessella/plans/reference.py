@@ -585,14 +585,9 @@ def co_occurrence(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def ripley_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every cell type of every sample against 100 patterns of its own size. P12."""
     c = positioned(spark, folder)
-    w = points.tissue_window(c, 40.0)
-    area = w.groupBy("sample_id").agg((F.count("*") * F.lit(1600.0)).alias("area"))
-    sims = points.uniform_points(w, c.groupBy("sample_id").agg(F.count("*").alias("n")), 40.0, sims=19)
-    sims = sims.select(F.concat_ws("#", "sample_id", F.col("sim").cast("string")).alias("g"), F.col("i").cast("string").alias("cell_id"), "x", "y")
-    areas = sims.select("g").distinct().join(area, F.col("sample_id") == F.split("g", "#")[0]).select("g", "area")
-    null = points.besag_l(sims, areas, _RADII, group="g").select(F.split("g", "#")[0].alias("sample_id"), "radius", "l")
-    return points.ripley_verdict(points.besag_l(c, area, _RADII), null)
+    return points.ripley_verdicts(c, graph.knn_edges(c, 1))
 
 
 @query()

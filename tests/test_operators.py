@@ -219,3 +219,20 @@ def test_hotspots_are_significant(spark):
     hot = graph.hotspot_regions(k, order, least=5).toPandas()
     assert len(raw) > 10 and set(hot["gene"]) == {"STRIPE"} and len(hot) > 50
     assert graph.hotspot_regions(k, order, least=5000).count() == 0
+
+
+def test_every_label_has_its_own_verdict(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.uniform(0, 300, (2, 400))
+    radii = np.linspace(0, 40, 40)
+    d = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2)[~np.eye(400, dtype=bool)]
+    want = np.sqrt([(d <= r).sum() / 400 / (400 / 9e4) / np.pi for r in radii])
+    assert np.allclose(points.l_curve(x, y, radii, 9e4, chunk=500), want)
+    assert np.isclose(points.hull_area(np.array([0.0, 2, 2, 0, 1]), np.array([0.0, 0, 3, 3, 1])), 6.0)
+    even = rng.uniform(0, 400, (900, 2))
+    clump = np.clip(rng.normal(0, 12, (300, 2)) + rng.choice([[100, 100], [300, 250]], 300), 0, 400)
+    rows = [("s", f"{kind}{i}", float(p), float(q), kind, None) for kind, pts in (("even", even), ("clump", clump), ("few", even[:20] + 0.5)) for i, (p, q) in enumerate(pts)]
+    c = spark.createDataFrame(rows, CELLS)
+    got = {r.cell_type: r for r in points.ripley_verdicts(c, graph.knn_edges(c, 1)).collect()}
+    assert set(got) == {"even", "clump"} and got["clump"].verdict == "clustered" and got["clump"].peak_deviation > 0 and got["clump"].n == 300
+    assert got["even"].verdict != "clustered"
