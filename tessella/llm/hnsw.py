@@ -11,16 +11,21 @@ class FlatHNSW:
     Layers are filled from the top: the members of a layer are the first nodes of the layer
     below.  Nodes are inserted in blocks: a block is searched in the graph so far, compared with
     itself, linked to diverse near nodes, and linked back from them where it is nearer than what
-    they have.  ``near`` keeps, for every node, the best nodes met in either direction.
+    they have.  The lowest layer is filled by neighbourhood: its blocks are the leaves of a tree
+    of random cuts, so most near nodes stand in the block itself, and islands that no path leads
+    to are linked all the same; the leaves of ``trees`` - 1 further trees are compared with
+    themselves afterwards, for what the cuts of the first parted.  ``near`` keeps, for every
+    node, the best nodes met in either direction.
     """
 
-    def __init__(self, x: np.ndarray, *, degree: int = 12, ef: int = 16, keep: int = 12, seed: int = 5, shrink: int = 16, hints: np.ndarray | None = None):
+    def __init__(self, x: np.ndarray, *, degree: int = 12, ef: int = 16, keep: int = 12, seed: int = 5, shrink: int = 16, trees: int = 3, leaf: int = 1024, hints: np.ndarray | None = None):
         """``hints`` (rows, h): hashes under which similar vectors often agree; a node also enters
         the graph at the last node before it with its hash, which leads into islands that the
         sparse upper layers miss."""
         self.x, self.degree, self.ef, self.keep = np.ascontiguousarray(x, np.float32), degree, ef, keep
         n = len(x)
-        order = np.random.default_rng(seed).permutation(n)
+        rng = np.random.default_rng(seed)
+        order = rng.permutation(n)
         sizes = [n]
         while sizes[-1] > 256:
             sizes.append(sizes[-1] // shrink)
@@ -36,7 +41,46 @@ class FlatHNSW:
         self.near = np.full((n, keep), -1, np.int64)
         self.near_sim = np.full((n, keep), -2, np.float32)
         for size in reversed(sizes):
-            self.layers.append(self._layer(size, last=size == n))
+            self.layers.append(self._layer(size, self._leaves(rng, leaf) if size == n else None))
+        for _ in range(1, trees if n > leaf else 0):
+            for block in self._leaves(rng, leaf):
+                ids, sims = self._among(block)
+                self._merge(block, ids, sims)
+
+    def _leaves(self, rng: np.random.Generator, leaf: int) -> list[np.ndarray]:
+        """All nodes in groups of at most ``leaf``, by halving along the line through two random nodes."""
+        out, todo = [], [np.arange(len(self.x))]
+        while todo:
+            ids = todo.pop()
+            if len(ids) <= leaf:
+                out.append(ids)
+                continue
+            a, b = self.x[ids[rng.integers(len(ids), size=2)]]
+            along = self.x[ids] @ (a - b) if (a != b).any() else rng.random(len(ids))
+            half = len(ids) // 2
+            part = np.argpartition(along, half)
+            todo += [ids[part[:half]], ids[part[half:]]]
+        return out
+
+    def _among(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best other nodes of the block for each of its nodes, and their similarities."""
+        q = self.x[block]
+        own = q @ q.T
+        np.fill_diagonal(own, -2)
+        k = min(self.keep, len(block) - 1)
+        if k < 1:
+            return np.empty((len(block), 0), np.int64), np.empty((len(block), 0), np.float32)
+        part = np.argpartition(-own, k - 1, axis=1)[:, :k]
+        return block[part], np.take_along_axis(own, part, 1)
+
+    def _merge(self, block: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> None:
+        """Takes over into ``near`` what is better than the nodes met so far."""
+        ids, sims = np.concatenate([self.near[block], ids], 1), np.concatenate([self.near_sim[block], sims], 1)
+        order = np.argsort(ids, axis=1, kind="stable")  # a node met again counts once
+        ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+        sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -2
+        top = np.argpartition(-sims, self.keep - 1, axis=1)[:, : self.keep]
+        self.near[block], self.near_sim[block] = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
 
     def _enter(self, q: np.ndarray, upto: int) -> np.ndarray:
         """Entry nodes from the layers above ``upto``."""
@@ -49,40 +93,47 @@ class FlatHNSW:
             ids = ids[:, :4]
         return ids
 
-    def _layer(self, n: int, last: bool) -> np.ndarray:
-        level = len(self.layers)
+    def _layer(self, n: int, blocks: list[np.ndarray] | None) -> np.ndarray:
+        """Links of the first ``n`` nodes; ``blocks`` says in which order the nodes of the lowest layer come."""
+        level, last = len(self.layers), blocks is not None
         links = np.full((n, self.degree), -1, np.int64)
         sims = np.full((n, self.degree), -2, np.float32)
-        at = 0
-        while at < n:
-            size = min(n - at, 256 if at == 0 else min(512, max(64, at)))
-            block = np.arange(at, at + size)
+        inside = np.zeros(n, bool)
+        upper = len(self.layers[-1]) if self.layers else 0
+        if last and upper:  # the nodes of the layers above come first, so paths lead on from them
+            blocks = [np.arange(s, min(s + 512, upper)) for s in range(0, upper, 512)] + blocks
+        elif not last:
+            blocks = [np.arange(0, min(n, 256)), *(np.arange(s, min(s + 512, n)) for s in range(256, n, 512))]
+        for block in blocks:
             q = self.x[block]
-            own = q @ q.T
-            np.fill_diagonal(own, -2)
-            k = min(self.keep, size - 1) if size > 1 else 0
-            part = np.argpartition(-own, k - 1, axis=1)[:, :k] if k else np.empty((size, 0), np.int64)
-            cand, cs = block[part], np.take_along_axis(own, part, 1)
-            old, os_ = np.empty((size, 0), np.int64), np.empty((size, 0), np.float32)
-            if at:
-                enter = np.concatenate([self._enter(q, level), np.where(self.before[block] < at, self.before[block], -1)], 1)
-                old, os_ = self._beam(q, enter, links[:at], self.ef)
+            cand, cs = self._among(block)
+            fresh = ~inside[block]
+            old, os_ = np.empty((len(block), 0), np.int64), np.empty((len(block), 0), np.float32)
+            if inside.any():
+                hint = self.before[block]
+                hint = np.where((hint >= 0) & inside[np.maximum(hint, 0)], hint, -1)
+                old, os_ = self._beam(q, np.concatenate([self._enter(q, level), hint], 1), links, self.ef)
+                os_[old == block[:, None]] = -2
+                old[os_ <= -2] = -1
+            if last:
+                self._merge(block, np.concatenate([cand, old], 1), np.concatenate([cs, os_], 1))
+                self._back(self.near, self.near_sim, old, os_, block)
+            inside[block] = True
+            block, cand, cs, old, os_ = block[fresh], cand[fresh], cs[fresh], old[fresh], os_[fresh]
+            if not len(block):
+                continue
             cand, cs = np.concatenate([cand, old], 1), np.concatenate([cs, os_], 1)
             rank = np.argsort(-cs, axis=1, kind="stable")
             cand, cs = np.take_along_axis(cand, rank, 1), np.take_along_axis(cs, rank, 1)
-            if last:
-                w = min(self.keep, cand.shape[1])
-                self.near[block, :w], self.near_sim[block, :w] = cand[:, :w], cs[:, :w]
-                self._back(self.near, self.near_sim, old, os_, block)
             pick = self._diverse(cand, cs)
             links[block, : pick.shape[1]] = np.where(pick >= 0, np.take_along_axis(cand, np.maximum(pick, 0), 1), -1)
             sims[block, : pick.shape[1]] = np.where(pick >= 0, np.take_along_axis(cs, np.maximum(pick, 0), 1), -2)
             gone = (sims <= -1.5) & (links >= 0)
             links[gone] = -1
             fwd, fs = links[block], sims[block]
-            outer = (fwd >= 0) & (fwd < at)
-            self._back(links, sims, np.where(outer, fwd, -1), fs, block)
-            at += size
+            new = np.zeros(n + 1, bool)
+            new[block] = True
+            self._back(links, sims, np.where(new[fwd], -1, fwd), fs, block)
         return links
 
     @staticmethod
@@ -92,7 +143,7 @@ class FlatHNSW:
         dst, val = to.ravel(), s.ravel()
         good = dst >= 0
         src, dst, val = src[good], dst[good], val[good]
-        good = val > sims[dst].min(axis=1)
+        good = (val > sims[dst].min(axis=1)) & ~(ids[dst] == src[:, None]).any(axis=1)
         src, dst, val = src[good], dst[good], val[good]
         order = np.lexsort((-val, dst))
         src, dst, val = src[order], dst[order], val[order]

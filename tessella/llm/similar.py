@@ -99,7 +99,7 @@ def _plan(vectors: DataFrame, shard_rows: int) -> dict[int, tuple[int, int, int]
 
 def similar(
     vectors: DataFrame, k: int, *, key: str = "cell_id", queries: DataFrame | None = None, min_similarity: float = 0.0,
-    shard_rows: int = 16_000, dims: int | None = 32, ef: int = 16, keep: int = 12, noise: float = 0.05, wobbles: int = 4,
+    shard_rows: int = 16_000, dims: int | None = 32, ef: int = 12, keep: int = 24, noise: float = 0.1, wobbles: int = 8,
 ) -> DataFrame:
     """The ``k`` vectors most similar to each: (a, b, similarity, rank), b named by its key.
 
@@ -158,7 +158,7 @@ def similar(
         names, home = pdf["k"].to_numpy(), pdf["home"].to_numpy()
         own, guest = np.flatnonzero(home), np.flatnonzero(~home)
         if not len(own):
-            return pd.DataFrame({"a": [], "b": [], "s": []})
+            return pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object), "s": pd.Series([], dtype=float)})
         x = project(block, dims) if dims else block.dense()
         hint = hints(block)
         graph = FlatHNSW(x[own], ef=ef, keep=keep, hints=hint[own])

@@ -49,7 +49,7 @@ def test_p1_against_brute_force(spark, small, matrix):
     np.fill_diagonal(s, -1)
     want = {tuple(sorted((cells[i], cells[j]))) for i in range(len(cells)) for j in sorted(range(len(cells)), key=lambda j: (-round(s[i, j], 9), cells[j]))[:5] if s[i, j] >= 0.995}
     got = {(r.cell_a, r.cell_b) for r in queries.p1_found(spark, small).collect()}
-    assert got <= want and len(got & want) >= 0.9 * len(want)
+    assert len(got & want) >= 0.98 * len(want) and len(got & want) >= 0.99 * len(got)
 
 
 def test_p6_against_brute_force(spark, small, matrix):
