@@ -13,7 +13,7 @@ import heapq
 import html
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import materialise
+
 # Letters of other scripts that look like Latin ones.
 _LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "І": "I", "Ѕ": "S", "Ј": "J",
@@ -33,7 +35,7 @@ _TABLE = str.maketrans(_LOOKALIKES)
 _ALIKE = re.compile("[" + "".join(_LOOKALIKES) + "]")
 _UNSEEN = regex.compile(r"[\p{Cf}\p{Mn}\p{Me}]+")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\[nrt\"'/\\]")
-_TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]{0,500})?/?>|<!--.{0,500}?-->", re.S)
+_TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>")
 _PERCENT = re.compile(r"(?:%[0-9a-fA-F]{2})+")
 _BROKEN = re.compile(r"[-‐‑¬=](?<=\w.)[ \t]*\r?\n[ \t]*(?:(?:>|//|#|\*|\|)[ \t]*)*(?=\w)")
 _HYPHEN = re.compile(r"['’ʼ`‐‑-](?<=[^\W\d_].)(?=[^\W\d_])")
@@ -51,6 +53,15 @@ def _percent(m: re.Match) -> str:
     return unquote(m.group(0), errors="replace")
 
 
+def _without_comments(text: str) -> str:
+    """The text without markup comments of any length; one that is never closed stays."""
+    out, at = [], 0
+    while (start := text.find("<!--", at)) >= 0 and (stop := text.find("-->", start + 4)) >= 0:
+        out.append(text[at:start])
+        at = stop + 3
+    return "".join([*out, text[at:]])
+
+
 def plain_words(text: str | None) -> list[str]:
     """Words of a text without case, punctuation, markup, escapes, accents, invisible and look-alike characters.
 
@@ -66,6 +77,7 @@ def plain_words(text: str | None) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
+        text = _without_comments(text)
         text = _TAG.sub(lambda m: " " if m.group(0)[1:2].lower() == "p" or m.group(0)[1:3].lower() in ("br", "/p", "di", "li") else "", text)
     if not text.isascii():
         if _ALIKE.search(text):
@@ -164,30 +176,35 @@ def covered(marks: list[tuple[int, int, int]], *, stretch: int, gap: int, clean:
 
 
 class ItemIndex:
-    """Seeds and words of a block of items, as held by every worker."""
+    """Seeds and words of a block of distinct item texts, as held by every worker.
 
-    def __init__(self, items: list[tuple[int, str | None]], *, seed: int, least: int, common: int):
+    ``items``: (name, words, positions that stand in an instruction).  An item with ``stretch``
+    or more words of its own is met by the seeds among these; one that is instruction
+    nearly throughout (a text that many items repeat with small changes) is met by all its seeds.
+    """
+
+    def __init__(self, items: list[tuple[int, list[str], list[int]]], *, seed: int, least: int, stretch: int):
         self.seed, self.least = seed, least
-        words = [(i, plain_words(t)) for i, t in items]
-        vocabulary = sorted({w for _, ws in words for w in ws})
-        self.ids = {w: n for n, w in enumerate(vocabulary)}
-        self.items = [(i, np.array([self.ids[w] for w in ws], np.int64)) for i, ws in words]
-        grams = [np.unique(gram_hashes(x, seed)) for _, x in self.items]
-        many = Counter(h for g in grams for h in g.tolist())
-        # words under a seed that many items share are instructions; they prove nothing alone
-        self.shared = []
-        for _, x in self.items:
-            mark = np.zeros(len(x), bool)
-            for p, h in enumerate(gram_hashes(x, seed).tolist()):
-                if many[h] > common:
-                    mark[p : p + seed] = True
-            self.shared.append(mark)
-        pairs = sorted((h, n) for n, g in enumerate(grams) for h in g.tolist() if many[h] <= common)
-        self.keys = np.array([h for h, _ in pairs], np.uint64)
-        self.owner = np.array([n for _, n in pairs], np.int64)
+        self.ids = {w: n for n, w in enumerate(sorted({w for _, ws, _ in items for w in ws}))}
+        self.items, self.own, keys, owner = [], [], [], []
+        for n, (name, ws, shared) in enumerate(items):
+            x, own = np.array([self.ids[w] for w in ws], np.int64), np.ones(len(ws), bool)
+            own[shared] = False
+            if own.sum() < stretch:
+                own[:] = True
+            self.items.append((name, x))
+            self.own.append(own)
+            h = gram_hashes(x, seed)
+            h = np.unique(h[[own[p : p + seed].any() for p in range(len(h))]]) if len(h) else h
+            keys.append(h)
+            owner.append(np.full(len(h), n))
+        self.keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        self.owner = np.concatenate(owner) if owner else np.empty(0, np.int64)
+        order = np.lexsort((self.owner, self.keys))
+        self.keys, self.owner = self.keys[order], self.owner[order]
 
     def leaks(self, words: list[list[str]], *, share: float, stretch: int, gap: int, clean: float) -> Iterator[tuple[int, int, float]]:
-        """(text number, item id, share of the item's words held) of each leak in the texts."""
+        """(text number, item name, share of the item's words held) of each leak in the texts."""
         ids = self.ids
         size = np.array([len(w) for w in words])
         flat = np.fromiter((ids.get(w, -1) for ws in words for w in ws), np.int64, int(size.sum()))
@@ -201,20 +218,41 @@ class ItemIndex:
         low, high = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
         n = high - low
         met = np.repeat(text[at], n), self.owner[np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-        pair, hits = np.unique(met[0] * len(self.items) + met[1], return_counts=True)
-        for code, k in zip(pair.tolist(), hits.tolist(), strict=True):
+        for code in np.unique(met[0] * len(self.items) + met[1]).tolist():
             t, i = divmod(code, len(self.items))
             name, item = self.items[i]
-            if k < 2:
+            doc = flat[begin[t] : begin[t + 1]]
+            if np.isin(item, doc).sum() < share * len(item):  # the text lacks the words, whatever their order
                 continue
-            got = covered(tiles(flat[begin[t] : begin[t + 1]], item, self.least), stretch=stretch, gap=gap, clean=clean)
-            own = ~self.shared[i]
+            got = covered(tiles(doc, item, self.least), stretch=stretch, gap=gap, clean=clean)
+            own = self.own[i]
             held = len(got) / len(item)
-            mine = sum(1 for p in got if own[p])
-            if held >= share and mine >= min(stretch, own.sum()):
+            if held >= share and sum(1 for p in got if own[p]) >= min(stretch, own.sum()):
                 yield t, name, held
 
 
+def item_texts(items: DataFrame, *, item: str, text: str, seed: int, common: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct word sequences of the items, (h, words, shared), and the items of each, (h, item).
+
+    ``shared`` are the positions under a run of ``seed`` words that more than ``common`` distinct
+    texts hold.  Runs are counted over all items; no list of them leaves the executors.
+    """
+    kind = items.schema[item].dataType.simpleString()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["i"], pa.array([plain_words(x) for x in batch["t"].to_pylist()], pa.list_(pa.string()))], ["i", "words"])
+
+    rows = items.select(F.col(item).alias("i"), F.col(text).alias("t")).filter("i is not null and t is not null").mapInArrow(split, f"i {kind}, words array<string>")
+    rows = materialise(rows.filter(F.size("words") >= seed).withColumn("h", F.md5(F.concat_ws(" ", "words"))))
+    texts = rows.groupBy("h").agg(F.first("words").alias("words"))
+    grams = texts.select("h", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - seed + 1), lambda p: F.xxhash64(F.slice("words", p, seed)))).alias("p", "g"))
+    often = grams.groupBy("g").agg(F.count_distinct("h").alias("n")).filter(F.col("n") > common).select("g")
+    marks = grams.join(often, "g").groupBy("h").agg(F.flatten(F.collect_set(F.sequence(F.col("p"), F.col("p") + seed - 1))).alias("shared"))
+    texts = texts.join(marks, "h", "left").select("h", "words", F.coalesce("shared", F.array().cast("array<int>")).alias("shared"))
+    return materialise(texts), rows.select("h", "i").distinct()
+
+
 def leaked_items(
     documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", item: str = "item_id", text: str = "text",
     share: float = 0.5, stretch: int = 8, gap: int = 2, clean: float = 0.75, seed: int = 4, least: int = 3, common: int = 5, block: int = 20_000,
@@ -223,30 +261,33 @@ def leaked_items(
 
     ``stretch``: words a stretch has at least; ``gap``: words that may differ between two exact
     runs of a stretch; ``clean``: matched share of a stretch; ``seed``/``least``: words of a seed
-    and of the shortest run; a seed in more than ``common`` items is an instruction, which alone
-    makes no case.  Items are taken ``block`` at a time, each block with one scan of the
-    documents.  Null, empty and very short items (under ``seed`` words) are never found; null
-    and empty documents hold nothing; documents are read whole, whatever their length.
+    and of the shortest run.  A seed in more than ``common`` different item texts is an
+    instruction: of an item with words of its own, ``stretch`` of these have to be held too.  An
+    item that is nearly all instruction, as one of a family of alike questions, needs its share
+    alone; equal items are searched once and all named.  Item texts are taken ``block`` at a
+    time, each block with one scan of the documents; the result is the same for any block.
+    Null, empty and very short items (under ``seed`` words) are never found; null and empty
+    documents hold nothing; documents are read whole, whatever their length.
     """
-    kinds = [documents.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()]
-    rows = items.filter(F.col(item).isNotNull() & F.col(text).isNotNull()).select(item, text).distinct()
-    blocks = max(1, -(-rows.count() // block))
+    kind = documents.schema[doc].dataType.simpleString()
+    texts, names = item_texts(items, item=item, text=text, seed=seed, common=common)
+    blocks = max(1, -(-texts.count() // block))
     src = documents.select(F.col(doc).alias("d"), F.col(text).alias("t")).filter("t is not null and t <> ''")
     found = None
     for b in range(blocks):
-        held = [tuple(r) for r in rows.filter(F.pmod(F.xxhash64(item), F.lit(blocks)) == b).orderBy(item).collect()]
+        held = [tuple(r) for r in texts.filter(F.pmod(F.xxhash64("h"), F.lit(blocks)) == b).orderBy("h").collect()]
         shared = documents.sparkSession.sparkContext.broadcast(held)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value, seed=seed, least=least, common=common)
+            index = ItemIndex(shared.value, seed=seed, least=least, stretch=stretch)
             for batch in batches:
                 for start in range(0, batch.num_rows, 500):
                     part = batch.slice(start, 500)
                     keys = part["d"].to_pylist()
                     hits = list(index.leaks([plain_words(x) for x in part["t"].to_pylist()], share=share, stretch=stretch, gap=gap, clean=clean))
                     if hits:
-                        yield pa.RecordBatch.from_pydict({"d": pa.array([keys[t] for t, _, _ in hits], batch.schema.field("d").type), "i": pa.array([i for _, i, _ in hits]), "held": pa.array([h for *_, h in hits], pa.float64())})
+                        yield pa.RecordBatch.from_pydict({"d": pa.array([keys[t] for t, _, _ in hits], batch.schema.field("d").type), "h": pa.array([i for _, i, _ in hits]), "held": pa.array([h for *_, h in hits], pa.float64())})
 
-        part = src.mapInArrow(scan, f"d {kinds[0]}, i {kinds[1]}, held double")
+        part = src.mapInArrow(scan, f"d {kind}, h string, held double")
         found = part if found is None else found.union(part)
-    return found.groupBy(F.col("d").alias(doc), F.col("i").alias(item)).agg(F.max("held").alias("held"))
+    return found.join(names, "h").groupBy(F.col("d").alias(doc), F.col("i").alias(item)).agg(F.max("held").alias("held"))

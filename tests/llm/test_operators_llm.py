@@ -230,6 +230,26 @@ def test_leaks(spark):
     assert leakage.leaked_items(d.limit(0), i).count() == 0 and leakage.leaked_items(d, i.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("many", [6, 60, 600])
+def test_families_of_items(spark, many):
+    """Any number of equal or nearly equal questions is found; an instruction they share is none."""
+    tell = "Read the report below with care and answer in one short plain sentence for the board. "
+    own = "Which {} turned pale after the seventh wash when both lamps of the north bench had failed again on Monday?"
+    items = [(i, own.format("fiducial")) for i in range(many)] + [(1000 + i, own.format(f"slide{i}")) for i in range(many)]
+    items += [(2000 + i, tell + " ".join(f"q{i}w{j}" for j in range(12))) for i in range(many)]
+    docs = [(1, "x y z " + own.format("fiducial")), (2, tell + "Nothing else is in here."), (3, own.format("slide3"))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(n, k) for n in (1, 3) for k in [*range(many), *range(1000, 1000 + many)]}
+    for block in (20_000, 50):
+        if many < 600 or block > 50:
+            assert {(r.doc_id, r.item_id) for r in leakage.leaked_items(d, i, block=block).collect()} == want
+
+
+def test_long_markup():
+    w = leakage.plain_words
+    assert w("a <!-- " + "x " * 5000 + "--> b <p class='" + "y " * 5000 + "'> c <!-- open") == ["a", "b", "c", "open"]
+
+
 def test_tiles_are_disjoint():
     a, b = np.array([1, 2, 3, 4, 5, 9, 1, 2, 3, -1, -1, -1]), np.array([1, 2, 3, 4, 5, 1, 2, 3])
     assert sorted(leakage.tiles(a, b, 3)) == [(0, 0, 5), (6, 5, 3)]
