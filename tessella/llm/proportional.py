@@ -30,24 +30,50 @@ def wanted_and_there(targets: DataFrame, rows: DataFrame) -> DataFrame:
     return t.join(there, ["stratum", "category"], "left").withColumn("there", F.coalesce("there", F.lit(0)))
 
 
+def _lowest(rows: DataFrame, by: list[str], limit: Column, bins: int = 1024) -> DataFrame:
+    """The ``limit`` rows of lowest (u, item) of every group; u lies in [0, 1), limit is the same throughout a group.
+
+    Rows are counted by ``bins`` steps of u, so only the rows of the step in which the limit
+    falls are ranked, and no task holds a group.
+    """
+    r = rows.withColumn("__limit", limit).withColumn("__bin", F.floor(F.col("u") * bins).cast("int"))
+    n = r.groupBy(*by, "__bin", "__limit").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))
+    n = n.withColumn("__before", F.coalesce(before, F.lit(0))).filter("__before < __limit").select(*by, "__bin", "__n", "__before")
+    met = r.join(n, [*by, "__bin"])
+    whole = met.filter("__before + __n <= __limit")
+    order = F.row_number().over(Window.partitionBy(*by, "__bin").orderBy("u", "item"))
+    part = met.filter("__before + __n > __limit").withColumn("__rank", order).filter("__before + __rank <= __limit").drop("__rank")
+    return whole.unionByName(part).select(*rows.columns)
+
+
 def draw(targets: DataFrame, rows: DataFrame, *, seed: int = 17, sigmas: float = 6.0) -> DataFrame:
-    """(draw, category, item): ``min(need, there)`` rows of each category, chosen by a seeded hash.
+    """(draw, stratum, category, item): ``min(need, there)`` rows of each category, chosen by a seeded hash.
 
     A row is accepted if its uniform hash is below p = (need + sigmas * sqrt(need) + sigmas^2) /
     there.  The expected excess is small, so the exact count is taken from few rows.  The hash is
     stretched over all of [0, 1) and p reaches 1 wherever need is not far below there; should
     fewer than needed be accepted (less than one draw in 10^8), the shortfall is filled from the
-    rejected rows, so counts are always exact.
+    rejected rows, so counts are always exact.  Equal targets of a draw count as the largest of them.
     """
-    t = materialise(wanted_and_there(targets, rows).filter("there > 0 and need > 0").groupBy("draw", "stratum", "category").agg(F.max("need").alias("need"), F.max("there").alias("there")))
-    p = (F.col("need") + sigmas * F.sqrt("need") + sigmas * sigmas) / F.col("there")
+    by = ["draw", "stratum", "category"]
+    t = materialise(wanted_and_there(targets, rows).filter("there > 0 and need > 0").groupBy(*by).agg(F.max("need").alias("need"), F.max("there").alias("there")))
+    p = F.least((F.col("need") + sigmas * F.sqrt("need") + sigmas * sigmas) / F.col("there"), F.lit(1.0))
     u = F.pmod(F.xxhash64(F.lit(seed), "draw", "item"), F.lit(1 << 40)) / float(1 << 40)
     met = rows.join(t, ["stratum", "category"]).withColumn("u", u).withColumn("p", p)
-    order = Window.partitionBy("draw", "stratum", "category").orderBy("u", "item")
-    cols = ["draw", "category", "item"]
-    accepted = materialise(met.filter("u < p").select("draw", "stratum", "category", "item", "u", "need", "there"))
-    exact = accepted.withColumn("n", F.row_number().over(order)).filter("n <= need").select(*cols)
-    got = accepted.groupBy("draw", "stratum", "category").agg(F.count("*").alias("got"))
-    short = t.join(got, ["draw", "stratum", "category"], "left").withColumn("gap", F.least("need", "there") - F.coalesce("got", F.lit(0))).filter("gap > 0").select("draw", "stratum", "category", "gap")
-    fill = met.filter("u >= p").join(short, ["draw", "stratum", "category"]).withColumn("n", F.row_number().over(order)).filter("n <= gap").select(*cols)
-    return exact.union(fill)
+    accepted = materialise(met.filter("u < p").select(*by, "item", (F.col("u") / F.col("p")).alias("u"), "need", "there"))
+    exact = _lowest(accepted, by, F.col("need")).select(*by, "item")
+    got = accepted.groupBy(*by).agg(F.count("*").alias("got"))
+    short = materialise(t.join(got, by, "left").withColumn("gap", F.least("need", "there") - F.coalesce("got", F.lit(0))).filter("gap > 0").select(*by, "gap"))
+    if short.isEmpty():
+        return exact
+    rest = met.filter("u >= p").join(short, by).withColumn("u", (F.col("u") - F.greatest("p", F.lit(0.0))) / (1 - F.greatest("p", F.lit(0.0))))
+    return exact.unionByName(_lowest(rest, by, F.col("gap")).select(*by, "item"))
+
+
+def report(targets: DataFrame, rows: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Every target with ``need``, ``there`` and, counted from the sample ``drawn``, ``drawn`` and ``missing`` rows."""
+    by = ["draw", "stratum", "category"]
+    n = drawn.groupBy(*by).agg(F.count("*").alias("__drawn"))
+    t = wanted_and_there(targets, rows).join(n, by, "left").withColumn("drawn", F.least(F.coalesce("__drawn", F.lit(0)), "need"))
+    return t.drop("__drawn").withColumn("missing", F.col("need") - F.col("drawn"))

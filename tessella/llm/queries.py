@@ -15,7 +15,7 @@ from tessella.llm.encoding import encode_texts
 from tessella.llm.language import corrected_labels, document_languages, learn, segment_languages
 from tessella.llm.leakage import leaked_items
 from tessella.llm.linked_split import assign_splits, linked_groups, path_key, sample_key
-from tessella.llm.proportional import draw, wanted_and_there
+from tessella.llm.proportional import draw, report
 from tessella.llm.similar import similar
 from tessella.llm.sparse import packed_vectors
 from tessella.llm.top_n import top_n_per_group
@@ -94,20 +94,26 @@ def _draws(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return targets, cells.select(F.col("sample_id").alias("stratum"), type_key("cell_type").alias("category"), F.col("cell_id").alias("item")).filter("category is not null")
 
 
+def _sampled(spark: SparkSession, folder: str) -> DataFrame:
+    targets, cells = _draws(spark, folder)
+    cells = materialise(cells)
+    return report(targets, cells, draw(targets, cells))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Targets for which the sample has fewer cells of the type than needed."""
-    return wanted_and_there(*_draws(spark, folder)).filter("there < need").select(F.col("draw").alias("draw_id"), "cell_type")
+    """Targets of which the drawn sample has fewer rows than needed."""
+    return _sampled(spark, folder).filter("missing > 0").select(F.col("draw").alias("draw_id"), "cell_type")
 
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     """Needed, present, drawn and missing rows of every target."""
-    t = wanted_and_there(*_draws(spark, folder))
-    return t.select(F.col("draw").alias("draw_id"), "cell_type", "need", "there", F.least("need", "there").alias("drawn"), F.greatest(F.col("need") - F.col("there"), F.lit(0)).alias("missing"))
+    return _sampled(spark, folder).select(F.col("draw").alias("draw_id"), "cell_type", "need", "there", "drawn", "missing")
 
 
 def p7_sample(spark: SparkSession, folder: str) -> DataFrame:
     """The drawn cells."""
-    return draw(*_draws(spark, folder)).select(F.col("draw").alias("draw_id"), F.col("category").alias("type_key"), F.col("item").alias("cell_id"))
+    targets, cells = _draws(spark, folder)
+    return draw(targets, materialise(cells)).select(F.col("draw").alias("draw_id"), F.col("category").alias("type_key"), F.col("item").alias("cell_id"))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
