@@ -41,7 +41,7 @@ _CODE = re.compile(r"(?<!\S)[^\s\d_=@<>{}|\\/#]*[\d_=@<>{}|\\/#]\S*")
 _KEEP_CJK = re.compile(rf"[A-Za-z0-9_=.,]+")
 _RUN = re.compile(rf"[{_CJK}]+|[^\W\d_{_CJK}]+(?:['’][^\W\d_{_CJK}]+)*")
 _CJK_ONE = re.compile(f"[{_CJK}]")
-_MARKUP = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&[a-z]{2,6};|\\\\[nrt]")
+_MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|&[a-z]{2,6};|\\\\[nrt]")
 _BROKEN = re.compile(r"(?<=\w)-[ \t]*\r?\n[ \t]*(?:>[ \t]*)*(?=\w)")
 _CAPITALS = re.compile("[A-ZÀ-ÞΑ-ΩА-Я]{2}")
 _LATIN, _OTHER = re.compile("[a-zA-Z]"), re.compile("[Ͱ-ӿ]")
@@ -92,9 +92,10 @@ class PPM:
 
     ORDER = 5
 
-    def __init__(self, languages: list[str], counts: list[Counter]):
-        """``counts``: per language, how often each word stands in the sample."""
-        self.languages = languages
+    def __init__(self, languages: list[str], counts: list[Counter], temper: float = 4.0):
+        """``counts``: per language, how often each word stands in the sample; ``temper``: what code
+        lengths are divided by for a confidence, as words of a text are not independent."""
+        self.languages, self.temper = languages, temper
         keys, which, weight = [], [], []
         for n, words in enumerate(counts):
             if not words:
@@ -103,7 +104,7 @@ class PPM:
             k, w = self._keys(list(words))
             keys.append(k.ravel())
             which.append(np.full(k.size, n))
-            weight.append(np.repeat(np.log2(1 + total)[w], self.ORDER + 1))
+            weight.append(np.repeat(total[w], self.ORDER + 1))
         k, n, x = (np.concatenate(v) if v else np.empty(0, t) for v, t in ((keys, np.uint64), (which, np.int64), (weight, float)))
         self.keys, at = np.unique(k, return_inverse=True)
         self.count = np.zeros((len(self.keys), len(languages)), np.float32)
@@ -162,6 +163,8 @@ class PPM:
 
     def score(self, lists: list[list[str]], cache: int = 300_000) -> np.ndarray:
         """Code length in bits of each list of words under each language."""
+        if not len(self.keys):  # nothing learnt: no language says anything
+            return np.zeros((len(lists), len(self.languages)))
         if len(self.known) > cache:
             self.known.clear()
         new = list({w for ws in lists for w in ws if w not in self.known})
@@ -190,59 +193,113 @@ class PPM:
             path[i - 1] = back[i, path[i]]
         return path, self._sure(bits, path)
 
-    @staticmethod
-    def _sure(bits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    def _sure(self, bits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
         own = bits[np.arange(len(bits)), chosen][:, None]
-        return 1 / np.exp2(np.clip((own - bits) / 4, -400, 400)).sum(axis=1)
+        return 1 / np.exp2(np.clip((own - bits) / self.temper, -400, 400)).sum(axis=1)
 
     def judge(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Best language (index) and confidence of each list of words.
 
         The confidence is the posterior of the best language under equal priors, with code
-        lengths tempered by a quarter because words of a text are not independent.
+        lengths divided by ``temper``, which ``learn`` settles on held-out rows.
         """
         bits = self.score(lists)
         best = bits.argmin(axis=1)
         return best, self._sure(bits, best)
 
 
-def learn(labelled: DataFrame, *, text: str = "text", label: str = "lang", per_language: int = 1500, chars: int = 4000, rounds: int = 3, least: int = 3) -> PPM:
-    """Statistics from at most ``per_language`` labelled rows of each language.
-
-    The rows are picked by a hash of their text, and of a picked text at most its first
-    ``chars`` characters are learnt from: the fit is bounded, the scoring is not.  Labels may be
-    wrong: after each round only segments whose language agrees with their row's label are kept.
-    Languages with under ``least`` rows are not learnt.
-    """
-    code = language_code(F.col(label))
-    rows = labelled.select(code.alias("c"), F.col(text).alias("t")).filter("c is not null and t is not null and length(t) >= 20").select("c", F.substring("t", 1, chars).alias("t"), F.xxhash64("t").alias("h"))
-    order = Window.partitionBy("c").orderBy("h", "t")
-    picked = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("c", "t").orderBy("c", "t").collect()
-    size = Counter(r.c for r in picked)
-    names = sorted(c for c, n in size.items() if n >= least)
-    lists, owner = [], []
-    for r in picked:
-        if r.c in names:
-            for *_, words, sentence in segments(r.t):
-                if sentence:
-                    lists.append(words)
-                    owner.append(names.index(r.c))
-    owner = np.array(owner, int)
-    keep = np.ones(len(lists), bool)
-    for _ in range(rounds):
+def _fit(names: list[str], lists: list[list[str]], owner: np.ndarray, use: np.ndarray, rounds: int) -> PPM:
+    """Statistics of the sentences in ``use``; after each round only those judged as their label says are kept."""
+    keep = use
+    for n in range(rounds):
         counts = [Counter() for _ in names]
-        for ws, n, ok in zip(lists, owner.tolist(), keep.tolist(), strict=True):
-            if ok:
-                counts[n].update(ws)
+        for at in np.flatnonzero(keep).tolist():
+            counts[owner[at]].update(lists[at])
         model = PPM(names, counts)
-        if not lists:
-            break
-        best, _ = model.judge(lists)
-        keep = best == owner
+        if n < rounds - 1 and keep.any():
+            at = np.flatnonzero(use)
+            keep = np.zeros(len(lists), bool)
+            keep[at] = model.judge([lists[i] for i in at])[0] == owner[at]
+    return model
+
+
+def _temper(model: PPM, lists: list[list[str]], owner: np.ndarray, row: np.ndarray) -> float:
+    """The divisor of code lengths under which the confidences of held-out sentences fit best.
+
+    Sentences of rows whose whole text is judged as its label says count, by log loss.
+    """
+    if not len(lists):
+        return 4.0
+    bits = model.score(lists)
+    _, at = np.unique(row, return_inverse=True)
+    whole = np.zeros((at.max() + 1, bits.shape[1]))
+    np.add.at(whole, at, bits)
+    ok = whole.argmin(axis=1)[at] == owner
+    if not ok.any():
+        return 4.0
+    gap = bits[ok] - bits[ok].min(axis=1, keepdims=True)
+    own = gap[np.arange(len(gap)), owner[ok]]
+    loss = [float((own / d + np.log2(np.exp2(-gap / d).sum(axis=1))).mean()) for d in TEMPERS]
+    return TEMPERS[int(np.argmin(loss))]
+
+
+TEMPERS = [1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 32.0]
+
+
+def learn(labelled: DataFrame, *, text: str = "text", label: str = "lang", per_language: int = 1500, sentences: int = 8000, rounds: int = 3, least: int = 3, strange: float = 1.3) -> PPM:
+    """Statistics from at most ``per_language`` different labelled texts of each language, whole, and at
+    most ``sentences`` sentences of these; texts and sentences are picked by a hash.
+
+    Labels may be wrong: after each round only sentences whose language agrees with their row's
+    label are kept.  A language of fewer than ``least`` texts is learnt only if the others do not
+    explain its sentences: if these take more than ``strange`` times the bits a letter that
+    sentences usually take.  Every fifth text is held out first to settle the confidences.
+    Without a usable label nothing is learnt, and no text gets a language.
+    """
+    rows = labelled.select(language_code(F.col(label)).alias("c"), F.col(text).alias("t")).filter("c is not null and t is not null and length(t) >= 20").withColumn("h", F.xxhash64("t"))
+    order = Window.partitionBy("c").orderBy("h")
+    picked = rows.select("c", "h").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("c", "h")
+    # no more rows than per_language for each language there is a code for
+    texts = rows.join(F.broadcast(picked), ["c", "h"]).dropDuplicates(["c", "h"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(n, words) for n, t in enumerate(batch["t"].to_pylist()) for *_, words, sentence in segments(t) if sentence]
+            at = pa.array([n for n, _ in got], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["c"].take(at), batch["h"].take(at), pa.array([w for _, w in got], pa.list_(pa.string()))], ["c", "h", "words"])
+
+    said = texts.select("c", "h", "t").mapInArrow(split, "c string, h long, words array<string>")
+    order = Window.partitionBy("c").orderBy(F.xxhash64("h", "words"), "h")
+    lot = said.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sentences).select("c", "h", "words").collect()
+    lot.sort(key=lambda r: (r.c, r.h, r.words))
+    names = sorted({r.c for r in lot})
+    lists, owner, row = [r.words for r in lot], np.array([names.index(r.c) for r in lot], int), np.array([r.h for r in lot], np.int64)
+    few = {n for n in range(len(names)) if len(np.unique(row[owner == n])) < least}
+    if few and len(few) < len(names):
+        names, lists, owner, row = _without(names, lists, owner, row, few, strange)
+    use = row % 5 != 0
+    trial = _fit(names, lists, owner, use if use.any() else ~use, rounds)
+    held = np.flatnonzero(~use)
+    temper = _temper(trial, [lists[i] for i in held], owner[held], row[held])
+    model = _fit(names, lists, owner, np.ones(len(lists), bool), rounds)
+    model.temper = temper
     model.known.clear()
     return model
 
 
+def _without(names: list[str], lists: list[list[str]], owner: np.ndarray, row: np.ndarray, few: set[int], strange: float) -> tuple[list[str], list[list[str]], np.ndarray, np.ndarray]:
+    """The sentences without those of rare languages that the other languages explain."""
+    rare = np.isin(owner, list(few))
+    common = [n for n in range(len(names)) if n not in few]
+    model = _fit([names[n] for n in common], lists, np.array([common.index(n) if n in common else 0 for n in owner.tolist()]), ~rare, 2)
+    rate = model.score(lists).min(axis=1) / np.array([sum(map(len, ws)) or 1 for ws in lists])
+    usual = float(np.median(rate[~rare]))
+    gone = {n for n in few if float(np.median(rate[owner == n])) <= strange * usual}
+    ok = ~np.isin(owner, list(gone))
+    left = [n for n in range(len(names)) if n not in gone]
+    return [names[n] for n in left], [ws for ws, k in zip(lists, ok.tolist(), strict=True) if k], np.array([left.index(n) for n in owner[ok].tolist()], int), row[ok]
+
+
 _SEGMENTS = "d {kind}, segment int, start int, stop int, lang string, confidence double, sentence boolean"
 
 
@@ -251,15 +308,15 @@ def segment_languages(documents: DataFrame, model: PPM, *, doc: str = "doc_id",
 
     A segment takes another language than its neighbours only for a gain of 24 bits, so names and
     scraps do not count as a change.  Neighbouring segments of one language are joined; start and stop are character positions.
-    Segments without words (numbers, codes, blanks) and null or empty texts have no row.  Texts
-    are read whole.
+    Segments without words (numbers, codes, blanks) and null or empty texts have no row; neither
+    has any text if the model knows no language.  Texts are read whole.
     """
     kind = documents.schema[doc].dataType.simpleString()
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ppm = shared.value
-        for batch in batches:
+        for batch in batches if ppm.languages else ():
             size = np.asarray(pa.compute.fill_null(pa.compute.utf8_length(batch["t"]), 0))
             lot = np.cumsum(size) // slice_chars
             for at in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(lot)) + 1):

@@ -285,8 +285,23 @@ def test_languages(spark):
     seg = [(r.start, r.stop, r.lang) for r in s.filter("doc_id = 3").orderBy("segment").collect()]
     assert [x[2] for x in seg] == ["en", "de"] and seg[1][0] == len(EN[0]) + 2
     assert segment_languages(d.limit(0), model).count() == 0
+    assert model.temper > 0 and s.filter("confidence < 0 or confidence > 1.000001").count() == 0
     none = learn(d.limit(0))
-    assert none.languages == []
+    assert none.languages == [] and segment_languages(d, none).count() == 0
+    assert learn(d.withColumn("lang", F.lit("unknown"))).languages == []
+    assert corrected_labels(d, document_languages(segment_languages(d, none))).count() == 0
+
+
+def test_rare_and_repeated_labels(spark):
+    """One row of a language of its own is learnt, two wrong labels are none; copies fill no places; late sentences count."""
+    rnd = random.Random(4)
+    train = [(" ".join(rnd.sample(EN, 3)) + f" It was seen {'again ' * i}today.", "en") for i in range(30)]
+    train += [("Les cellules furent comptées encore une fois après le départ du premier lecteur. Personne ne pouvait dire pourquoi le signal était plus faible.", "fr")]
+    train += [(" ".join(EN[:2]), "sv"), (" ".join(EN[1:]), "sv")]
+    train += [(DE[0] + " " + DE[1], "de")] * 500 + [("9 " * 5000 + DE[i % 3] + f" Wieder wurde {'sehr ' * i}lange gezählt.", "de") for i in range(12)]
+    model = learn(spark.createDataFrame(train, "text string, lang string"), per_language=40)
+    assert model.languages == ["de", "en", "fr"]
+    assert [model.languages[i] for i in model.judge([["wurde", "gezählt"], ["cells", "were", "counted"], ["personne", "ne", "pouvait"]])[0]] == ["de", "en", "fr"]
 
 
 def test_code_length_is_a_probability():
