@@ -30,21 +30,19 @@ def wanted_and_there(targets: DataFrame, rows: DataFrame) -> DataFrame:
     return t.join(there, ["stratum", "category"], "left").withColumn("there", F.coalesce("there", F.lit(0)))
 
 
-def _lowest(rows: DataFrame, by: list[str], limit: Column, bins: int = 1024) -> DataFrame:
+def _lowest(rows: DataFrame, by: list[str], limit: Column, step_rows: int = 50_000) -> DataFrame:
     """The ``limit`` rows of lowest (u, item) of every group; u lies in [0, 1), limit is the same throughout a group.
 
-    Rows are counted by ``bins`` steps of u, so only the rows of the step in which the limit
-    falls are ranked, and no task holds a group.
+    u is cut into as many steps as the limit has times ``step_rows``; rows are ranked within
+    their step and the counts of the steps before are added, so no task ranks a large group.
     """
-    r = rows.withColumn("__limit", limit).withColumn("__bin", F.floor(F.col("u") * bins).cast("int"))
-    n = r.groupBy(*by, "__bin", "__limit").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))
-    n = n.withColumn("__before", F.coalesce(before, F.lit(0))).filter("__before < __limit").select(*by, "__bin", "__n", "__before")
-    met = r.join(n, [*by, "__bin"])
-    whole = met.filter("__before + __n <= __limit")
-    order = F.row_number().over(Window.partitionBy(*by, "__bin").orderBy("u", "item"))
-    part = met.filter("__before + __n > __limit").withColumn("__rank", order).filter("__before + __rank <= __limit").drop("__rank")
-    return whole.unionByName(part).select(*rows.columns)
+    r = rows.withColumn("__limit", limit).withColumn("__step", F.floor(F.col("u") * F.ceil(F.col("__limit") / F.lit(step_rows))).cast("int"))
+    n = r.groupBy(*by, "__step").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = n.withColumn("__before", before).filter("__before > 0").select(*by, "__step", "__before")
+    order = F.row_number().over(Window.partitionBy(*by, "__step").orderBy("u", "item"))
+    ranked = r.withColumn("__rank", order).filter("__rank <= __limit").join(n, [*by, "__step"], "left")
+    return ranked.filter("coalesce(__before, 0) + __rank <= __limit").select(*rows.columns)
 
 
 def draw(targets: DataFrame, rows: DataFrame, *, seed: int = 17, sigmas: float = 6.0) -> DataFrame:

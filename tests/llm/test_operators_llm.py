@@ -116,7 +116,7 @@ def test_draw(spark):
     assert r == {(1, "big"): (50, 50, 0), (1, "small"): (5, 3, 2), (1, "none"): (10, 0, 10), (2, "big"): (1, 1, 0), (3, None): (5, 0, 5), (4, "big"): (0, 0, 0)}
     assert proportional.report(t, rows, d.limit(0)).filter("drawn = 0 and missing = need").count() == 6
     u = rows.filter("category = 'big'").withColumn("u", (F.col("item").substr(2, 9).cast("int") % 40) / 40.0).withColumn("n", F.lit(777))
-    low = proportional._lowest(u, ["category"], F.col("n"), bins=8).collect()  # ties of u go to the smaller item
+    low = proportional._lowest(u, ["category"], F.col("n"), step_rows=100).collect()  # ties of u go to the smaller item
     assert {x.item for x in low} == {x for _, x in sorted((int(x[1:]) % 40, x) for x in (f"b{i}" for i in range(5000)))[:777]}
     assert proportional.draw(t, rows, sigmas=-5.0).count() == 54  # accepted far too few: filled up exactly
     assert proportional.draw(t.limit(0), rows).count() == 0 and proportional.draw(t, rows.limit(0)).count() == 0
