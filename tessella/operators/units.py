@@ -2,9 +2,10 @@
 
 Evidence is read from the value's own text, a normalisation flag, the named coordinate
 system and free-text notes.  A calibrated tree ensemble, trained on sources whose unit is
-written, predicts the unit of sources that do not name one from magnitude, data category and
-the words of neighbouring fields.  A unit the notes state is checked against it and wins;
-where nothing is written, a confident prediction is converted and an uncertain one goes to review.
+written, decides for sources that do not name one, from magnitude, data category and what
+neighbouring fields say.  Confident decisions are converted.  A unit the notes state is the
+exact check: it settles what the ensemble leaves open, and where the two differ it wins and the
+rows are marked for review; where nothing is written, an uncertain decision goes to review.
 """
 
 from __future__ import annotations
@@ -115,27 +116,25 @@ def source_evidence(sources: DataFrame) -> DataFrame:
         F.when(F.coalesce("normalize_coordinates_to_microns", F.lit(False)), "um")
         .when(cs.isNull(), "px").otherwise(unit_in_system(cs)).alias("named"),
         unit_in_notes(notes).alias("noted"),
+        unit_in_system(cs).alias("system"),
+        F.coalesce("normalize_coordinates_to_microns", F.lit(False)).cast("double").alias("flag"),
         pixel_nm(F.col("metadata"), cs, notes).alias("pixel_nm"),
         F.concat_ws(" ", cs, notes).alias("words"),
     )
 
 
 def _features(examples: DataFrame) -> DataFrame:
-    """Adds ``features``: magnitude, form of the numbers, category, words and the noted unit."""
+    """Adds ``features``: magnitude (also as if in pixels), form of the numbers, flag, category, words and what is said of the unit."""
     from pyspark.ml.feature import HashingTF, VectorAssembler
 
-    e = examples.withColumn(
-        "tokens",
-        F.concat(
-            F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("words", F.lit(""))), r"[^\p{L}]+", " "), " "), lambda t: t != ""),
-            F.array(F.concat(F.lit("type="), F.coalesce("data_type", F.lit(""))), F.concat(F.lit("mod="), F.coalesce("modality", F.lit("")))),
-        ),
-    )
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("words", F.lit(""))), r"[^\p{L}]+", " "), " "), lambda t: (t != "") & ~t.rlike(f"^{_ANY}$"))
+    kinds = F.array(F.concat(F.lit("type="), F.coalesce("data_type", F.lit(""))), F.concat(F.lit("mod="), F.coalesce("modality", F.lit(""))))
+    e = examples.withColumn("tokens", F.concat(words, kinds))
     for u in CLASSES:
-        e = e.withColumn(f"noted_{u}", F.coalesce((F.col("noted") == u).cast("double"), F.lit(0.0)))
-    e = e.withColumn("sized", F.col("pixel_nm").isNotNull().cast("double"))
-    e = HashingTF(inputCol="tokens", outputCol="bag", numFeatures=128, binary=True).transform(e)
-    return VectorAssembler(inputCols=["magnitude", "whole", "sized", *[f"noted_{u}" for u in CLASSES], "bag"], outputCol="features").transform(e)
+        e = e.withColumn(f"says_{u}", F.coalesce((F.col("says") == u).cast("double"), F.lit(0.0)))
+    e = e.withColumn("sized", F.col("pixel_nm").isNotNull().cast("double")).withColumn("as_pixels", F.coalesce(F.col("magnitude") + F.log10("pixel_nm"), F.lit(-99.0)))
+    e = HashingTF(inputCol="tokens", outputCol="bag", numFeatures=64, binary=True).transform(e)
+    return VectorAssembler(inputCols=["magnitude", "as_pixels", "whole", "sized", "flag", *[f"says_{u}" for u in CLASSES], "bag"], outputCol="features").transform(e)
 
 
 def _calibrated(p: Column, steps: list[tuple[float, float]], held: float) -> Column:
@@ -146,34 +145,43 @@ def _calibrated(p: Column, steps: list[tuple[float, float]], held: float) -> Col
     return (out * held + p) / (held + 1)
 
 
-def predict_units(examples: DataFrame, *, max_examples: int = 20_000, trees: int = 20, depth: int = 8, least: int = 20) -> DataFrame:
-    """Predicted unit and calibrated confidence of every example: (source_id, predicted, confidence).
+def predict_units(examples: DataFrame, *, max_examples: int = 20_000, trees: int = 30, depth: int = 8) -> DataFrame:
+    """Predicted unit and calibrated confidence of every example without a label: (source_id, predicted, confidence).
 
-    ``examples`` has one row per source and written unit, ``label`` null where none is written.
-    The forest is fitted on at most ``max_examples`` labelled examples, picked by a hash of the
-    source; every fourth source is held out to calibrate the probabilities by isotonic
-    regression.  With fewer than ``least`` labelled examples, or one class, nothing is predicted.
+    ``examples`` has one row per source and written unit, ``label`` null where none is written,
+    ``says`` the unit that neighbouring fields name.  The forest is fitted on at most
+    ``max_examples`` labelled examples, picked by a hash of the source, each of them once as it
+    is and once without words and with nothing said, so magnitude and category count too.  Every fourth source is
+    held out to calibrate the probabilities by isotonic regression.  The fewer labelled examples
+    n, the lower the confidence, which is multiplied by n / (n + 2).  With one class alone that
+    class is predicted; without labelled examples nothing is.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
-    f = materialise(_features(examples).select("source_id", "label", "features"))
+    e = examples.withColumn("h", F.xxhash64("source_id", "label"))
+    labelled = e.filter("label is not null").orderBy("h").limit(max_examples)
+    labelled = labelled.unionByName(labelled.withColumn("says", F.lit(None).cast("string")).withColumn("words", F.lit("")))
+    wanted = e.filter("label is null")
     index = F.element_at(F.create_map(*[F.lit(v) for i, u in enumerate(CLASSES) for v in (u, float(i))]), F.col("label"))
-    labelled = f.filter("label is not null").withColumn("y", index).withColumn("h", F.xxhash64("source_id", "label")).orderBy("h").limit(max_examples)
-    labelled = materialise(labelled)
-    kinds = labelled.agg(F.count("*").alias("n"), F.count_distinct("y").alias("k")).first()
-    wanted = f.filter("label is null")
-    if kinds.n < least or kinds.k < 2:
-        return wanted.select("source_id", F.lit(None).cast("string").alias("predicted"), F.lit(None).cast("double").alias("confidence"))
+    f = materialise(_features(labelled.unionByName(wanted)).select("source_id", "label", "h", "features", index.alias("y")))
+    labelled, wanted = f.filter("label is not null"), f.filter("label is null")
     held = F.pmod(F.col("h"), F.lit(4)) == 0
-    model = RandomForestClassifier(featuresCol="features", labelCol="y", numTrees=trees, maxDepth=depth, seed=7).fit(labelled.filter(~held))
+    seen = {r.y: (r.fit, r.held) for r in labelled.groupBy("y").agg(F.count_if(~held).alias("fit"), F.count_if(held).alias("held")).collect()}  # a row a class
+    n = sum(a + b for a, b in seen.values()) / 2
+    fit = {y for y, (a, _) in seen.items() if a}
+    if len(fit) < 2:
+        only = next(iter(seen), None) if len(seen) == 1 else None
+        return wanted.select("source_id", F.lit(None if only is None else CLASSES[int(only)]).cast("string").alias("predicted"), F.lit(None if only is None else n / (n + 2)).cast("double").alias("confidence"))
+    model = RandomForestClassifier(featuresCol="features", labelCol="y", numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", seed=7).fit(labelled.filter(~held))
     top = lambda df: model.transform(df).withColumn("p", F.array_max(vector_to_array("probability")))
-    judged = top(labelled.filter(held)).withColumn("right", (F.col("prediction") == F.col("y")).cast("double"))
-    curve = IsotonicRegression(featuresCol="p", labelCol="right", predictionCol="iso").fit(judged)
-    steps = list(zip(curve.boundaries.toArray(), curve.predictions.toArray(), strict=True))
+    steps, tried = [(0.0, 0.0)], sum(b for _, b in seen.values())
+    if tried:
+        curve = IsotonicRegression(featuresCol="p", labelCol="right", predictionCol="iso").fit(top(labelled.filter(held)).withColumn("right", (F.col("prediction") == F.col("y")).cast("double")))
+        steps = list(zip(curve.boundaries.toArray(), curve.predictions.toArray(), strict=True))
     names = F.array(*[F.lit(u) for u in CLASSES])
-    return top(wanted).select("source_id", F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"), _calibrated(F.col("p"), steps, kinds.n / 4).alias("confidence"))
+    return top(wanted).select("source_id", F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"), (_calibrated(F.col("p"), steps, tried / 2) * (n / (n + 2))).alias("confidence"))
 
 
 def positions_in_nm(rows: DataFrame, sources: DataFrame, *, confident: float = 0.9) -> DataFrame:
@@ -184,9 +192,11 @@ def positions_in_nm(rows: DataFrame, sources: DataFrame, *, confident: float = 0
 
     * Repeated rows of a row_id count once (the largest delivery); null row_ids are dropped.
     * A row of an unknown source, or in pixels of unknown size, is readable but not converted.
-    * Where a source names no unit, the ensemble predicts it from magnitude, category, the words
-      and the noted unit; a unit the notes state is the exact check and wins if they differ.
-    * ``review`` marks readable rows that were not converted.
+    * Where a source names no unit, the ensemble decides (basis predicted) if its confidence
+      reaches ``confident`` and the notes do not state another unit.
+    * Else the unit the notes state settles it (basis notes).
+    * ``review`` marks readable rows that were not converted, and those of a confident decision
+      against the notes.
     """
     vx, ux = read_value(F.col("x_text"))
     vy, uy = read_value(F.col("y_text"))
@@ -200,19 +210,22 @@ def positions_in_nm(rows: DataFrame, sources: DataFrame, *, confident: float = 0
     stats = r.filter(finite("vx") & (F.col("ux").isNull() | (F.col("ux") == F.col("uy")))).groupBy("source_id", F.col("ux").alias("text_unit")).agg(
         F.percentile_approx(size, 0.5, 1000).alias("magnitude"), F.avg((F.col("vx") == F.floor("vx")).cast("double")).alias("whole")
     )
-    examples = ev.join(stats, "source_id").withColumn("label", F.coalesce("text_unit", "named"))
+    own = F.col("text_unit").isNull()  # values with a unit of their own say nothing of their source's
+    examples = ev.join(stats, "source_id").withColumn("label", F.coalesce("text_unit", "named")).withColumn("says", F.when(own, F.coalesce("system", "noted"))).withColumn("flag", F.when(own, F.col("flag")).otherwise(0.0))
     guess = predict_units(examples)
     ev = ev.join(guess, "source_id", "left")
     j = r.join(ev.select("source_id", "named", "noted", "pixel_nm", "predicted", "confidence"), "source_id", "left")
     sure = F.when(F.col("confidence") >= confident, F.col("predicted"))
-    rest = F.coalesce("named", "noted", sure)
+    against = sure.isNotNull() & (F.col("noted") != sure)
+    decided = F.when(~F.coalesce(against, F.lit(False)), sure)
+    rest = F.coalesce("named", decided, "noted")
     j = j.withColumn("unit_x", F.coalesce("ux", rest)).withColumn("unit_y", F.coalesce("uy", rest))
     nm = lambda v, u: F.round(F.when(u == "px", v * F.col("pixel_nm")).otherwise(_in_nm(v, u))).cast("long")
     readable = finite("vx") & finite("vy")
     j = j.withColumn("x_nm", F.when(readable, nm(F.col("vx"), F.col("unit_x")))).withColumn("y_nm", F.when(readable, nm(F.col("vy"), F.col("unit_y"))))
-    basis = F.when(F.col("ux").isNotNull(), "text").when(F.col("named").isNotNull(), "named").when(F.col("noted").isNotNull(), "notes").when(sure.isNotNull(), "predicted").otherwise("none")
+    basis = F.when(F.col("ux").isNotNull(), "text").when(F.col("named").isNotNull(), "named").when(decided.isNotNull(), "predicted").when(F.col("noted").isNotNull(), "notes").otherwise("none")
     return j.select(
         "row_id", "source_id", "x_nm", "y_nm", "unit_x", "unit_y", basis.alias("basis"),
         "predicted", F.when(basis.isin("text", "named"), 1.0).otherwise(F.col("confidence")).alias("confidence"),
-        readable.alias("readable"), (readable & (F.col("x_nm").isNull() | F.col("y_nm").isNull())).alias("review"),
+        readable.alias("readable"), (readable & (F.col("x_nm").isNull() | F.col("y_nm").isNull() | (basis.isin("notes") & F.coalesce(against, F.lit(False))))).alias("review"),
     )

@@ -49,6 +49,47 @@ def test_prediction(spark):
     assert (x.unit_x, x.basis, x.x_nm) == ("mm", "predicted", 2_750_000) and x.confidence >= 0.9
 
 
+def test_decided_against_the_notes(spark):
+    """Magnitudes that overlap, notes that are silent, and a note that the ensemble contradicts."""
+    import random
+
+    rnd, unit = random.Random(1), {"mm": 1e-3, "um": 1.0, "px": 2.0}
+    s, r = [], []
+
+    def source(i, system, notes, truth, meta='{"um_per_px": 0.5}'):
+        s.append((i, rnd.choice("ab"), "m", system, None, meta, notes, ""))
+        r.extend((i * 100 + j, i, f"{rnd.uniform(500, 9000) * unit[truth]:.4f}", "1", None, 0) for j in range(30))
+
+    for i in range(240):
+        u = ("mm", "um", "px")[i % 3]
+        source(i, {"mm": "stage mm", "um": "microns", "px": "pixel"}[u], None, u)
+    for i, u in enumerate(("mm", "um", "px") * 20):
+        source(1000 + i, "custom", None, u)
+        source(2000 + i, "custom", f"all positions in {u} of the slide", u)
+    source(3000, "custom", "all positions in um of the slide", "mm")
+    got = positions_in_nm(spark.createDataFrame(r, ROWS), spark.createDataFrame(s, SOURCES)).collect()
+    noted = [x for x in got if 2000 <= x.source_id < 3000]
+    bad = {(x.source_id, x.unit_x, x.basis, x.predicted, x.confidence, x.review) for x in noted if x.unit_x != ("mm", "um", "px")[(x.source_id - 2000) % 3] or x.review}
+    assert not bad
+    assert sum(x.basis == "predicted" for x in noted) >= 0.8 * len(noted)
+    silent = [x for x in got if 1000 <= x.source_id < 2000 and x.unit_x is not None]
+    assert len(silent) >= 15 * 30 and sum(x.unit_x == ("mm", "um", "px")[(x.source_id - 1000) % 3] for x in silent) >= 0.9 * len(silent)
+    assert all(x.review and x.basis == "none" for x in got if 1000 <= x.source_id < 2000 and x.unit_x is None)
+    last = [x for x in got if x.source_id == 3000]
+    assert {(x.unit_x, x.basis) for x in last} == {("um", "notes")} and (last[0].predicted == "um" or all(x.review for x in last) or last[0].confidence < 0.9)
+
+
+def test_few_examples(spark):
+    """One class alone is predicted with a confidence that grows with its examples; none gives none."""
+    for n, want in ((3, (None, "none")), (30, ("mm", "predicted"))):
+        s = [(i, "a", "m", "mm", None, None, None, "") for i in range(n)] + [(100, "a", "m", "custom", None, None, None, "")]
+        r = [(i, i, "3.5", "1", None, 0) for i in [*range(n), 100]]
+        x = positions_in_nm(spark.createDataFrame(r, ROWS), spark.createDataFrame(s, SOURCES)).filter("source_id = 100").first()
+        assert (x.unit_x, x.basis) == want and x.predicted == "mm" and x.review == (n == 3)
+    x = positions_in_nm(spark.createDataFrame(r[-1:], ROWS), spark.createDataFrame(s[-1:], SOURCES)).first()
+    assert (x.unit_x, x.predicted, x.confidence, x.basis) == (None, None, None, "none")
+
+
 @pytest.mark.parametrize("which", ["rows", "sources", "both"])
 def test_empty(spark, which):
     r = spark.createDataFrame([(1, 1, "2", "3", None, 0)], ROWS)
