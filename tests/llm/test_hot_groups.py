@@ -24,7 +24,7 @@ def test_copies_are_a_third(spark):
     near = similar.similar(v, 5, min_similarity=0.9)
     assert near.count() == 300 * 5 and near.filter("a = b").count() == 0
     # a crowd in one batch is dealt to tasks of the batch's own, and still one cluster
-    leaves = birch.cf_leaves(v.withColumnRenamed("cell_id", "k"), crowd=50)
+    leaves = birch.cf_leaves(v.withColumnRenamed("cell_id", "k"), crowd=50, chunk=64)
     assert leaves.agg(F.sum("n")).first()[0] == 900
 
 
@@ -83,7 +83,9 @@ def test_crowded_buckets_are_divided(spark):
     v = vectors(spark, rows)
     links = birch.leaf_links(birch.cf_leaves(v.withColumnRenamed("cell_id", "k"), reach=0.99999), crowd=4)
     ends = links.select(F.split("a", "_")[0].alias("a"), F.split("b", "_")[0].alias("b"))
-    assert links.count() > 0 and ends.filter("a <> b").count() == 0
+    every = {(f"g{g}_{i}", f"g{g}_{j}") for g in range(5) for i in range(40) for j in range(40)}
+    assert {(r.cluster_first.split("_")[0], r.k) for r in birch.tight_groups(birch.clusters(v, reach=0.99999, crowd=4)).collect()} == {(f"g{g}", f"g{g}_{i}") for g in range(5) for i in range(40)}
+    assert links.count() > 0 and {(r.a, r.b) for r in links.collect()} <= every and ends.filter("a <> b").count() == 0
     near = similar.similar(v, 3, min_similarity=0.9, shard_rows=8)
     ends = near.select(F.split("a", "_")[0].alias("a"), F.split("b", "_")[0].alias("b"))
     assert near.count() == 200 * 3 and ends.filter("a <> b").count() == 0

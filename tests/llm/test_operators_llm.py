@@ -184,9 +184,28 @@ def test_clusters(spark):
     assert {(r.cluster_first, r["size"]) for r in d} == {(f"g{g}_0", 8) for g in range(6)} | {("lone", 1)}
     # blocks of two give the same groups
     assert birch.tight_groups(a, block=2).count() == 48
+    # groups that a cluster merged are parted again, those that clusters parted are joined
+    one = a.withColumn("component", F.lit(1).cast("long"))
+    for cluster in (F.lit("one"), F.col("k")):
+        for block in (4096, 5):
+            assert {(r.cluster_first, r.k) for r in birch.tight_groups(one.withColumn("cluster", cluster), block=block).collect()} == {(f, k) for f, ks in got.items() for k in ks}
     assert birch.clusters(v.limit(0)).count() == 0
 
 
+def test_leaves_do_not_depend_on_batches(spark):
+    rows = planted(groups=20)
+    v = packed_vectors(spark.createDataFrame(rows, VEC), "cell_id", F.col("gene"), F.col("value")).withColumnRenamed("cell_id", "k").cache()
+    own = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    seen = []
+    for batch, parts in (("10000", 4), ("7", 4), ("31", 3)):
+        spark.conf.set(own, batch)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        seen.append({tuple(sorted(r.cells)) for r in birch.cf_leaves(v.repartition(parts), chunk=9).select("cells").collect()})
+    spark.conf.unset(own)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert seen[0] == seen[1] == seen[2] and sum(map(len, seen[0])) == 160
+
+
 # --- encoding ---------------------------------------------------------------------------------
 
 
