@@ -263,9 +263,13 @@ def gene_screen(expr: DataFrame, cells: DataFrame, *, share: float = 0.01, least
     return g.join(F.broadcast(strict)).select("gene", "detected", (F.col("ok") | (F.col("strict") < 2)).alias("tested"))  # one row
 
 
-def group_morans(edges: DataFrame, cells: DataFrame, *, least: int = 20) -> DataFrame:
-    """(sample_id, label, i): Moran's I of each label's indicator, labels of ``least`` cells or more. P5."""
+def group_morans(edges: DataFrame, cells: DataFrame, *, least: int = 50, groups: int = 2) -> DataFrame:
+    """(sample_id, label, i): Moran's I of each label's indicator, labels of ``least`` cells or more. P5.
+
+    A sample with fewer than ``groups`` such labels has no row.
+    """
     ok = cells.filter("cell_type is not null").groupBy("sample_id", "cell_type").agg(F.count("*").alias("k")).filter(F.col("k") >= least)
+    ok = ok.join(ok.groupBy("sample_id").agg(F.count("*").alias("groups")).filter(F.col("groups") >= groups), "sample_id")
     v = cells.join(ok, ["sample_id", "cell_type"]).select("sample_id", "cell_id", F.col("cell_type").alias("gene"), F.lit(1.0).alias("value"))
     return _morans(edges, v, cells).withColumnRenamed("gene", "label")
 

@@ -140,14 +140,16 @@ def lineage_coverage(lineages: DataFrame, *, least: int = 25, share: float = 0.0
 
 
 def astrocyte_rule(genes: DataFrame) -> DataFrame:
-    """(cell_id, label, confidence) for glial cells by four genes, given as columns. R10."""
+    """(cell_id, candidate, confidence) for glial cells by three genes, given as columns. R10.
+
+    CD68 has to be absent throughout; AQP4 suggests an astrocyte (0.70 with EGFR, else 0.62),
+    EGFR alone one of low confidence (0.55).  A missing gene is 0; other cells have no candidate.
+    """
     g = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    glial = F.col("label") == "Neural/Glial cell"
-    astro = glial & (g("AQP4") > 0) & (g("CD68") <= 0)
-    return genes.select(
-        "cell_id", F.when(astro, "Astrocyte").when(glial & (g("EGFR") > 0), "Glioma-like").alias("candidate"),
-        F.when(astro, F.when(g("EGFR") > 0, 0.70).otherwise(0.62)).when(glial & (g("EGFR") > 0), 0.55).alias("confidence"),
-    )
+    glial = (F.col("label") == "Neural/Glial cell") & (g("CD68") <= 0)
+    by_egfr = F.when(glial & (g("EGFR") > 0), 0.55)
+    confidence = F.when(glial & (g("AQP4") > 0), F.when(g("EGFR") > 0, 0.70).otherwise(0.62)).otherwise(by_egfr)
+    return genes.select("cell_id", F.when(confidence.isNotNull(), "astrocyte").alias("candidate"), confidence.alias("confidence"))
 
 
 def breast_relabel(label: Column, g: dict[str, Column]) -> Column:

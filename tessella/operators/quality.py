@@ -39,17 +39,22 @@ def normalise(expr: DataFrame, *, target: float = 1e4) -> DataFrame:
 def cell_qc(expr: DataFrame, *, min_transcripts: float = 10.0, max_background: float = 0.05) -> DataFrame:
     """(cell_id, verdict): low_transcripts is tested first, then high_background, else kept. F3.
 
-    Background is the sum of the three control counts; the denominator is TOTAL_COUNTS if above
-    0, else transcripts plus background; without TRANSCRIPT_COUNTS a cell has the total for it.
+    Background is the sum of the three control counts, single control probes not among them; the
+    denominator is TOTAL_COUNTS if above 0, else transcripts plus background.  A count that is
+    missing or null is 0, so a cell without TRANSCRIPT_COUNTS is low.
     """
-    of = lambda *names: F.sum(F.when(F.col("gene").isin(*names), F.greatest(F.col("raw"), F.lit(0.0))).otherwise(0.0))
-    c = expr.groupBy("cell_id").agg(
-        of("TRANSCRIPT_COUNTS").alias("t"), of("TOTAL_COUNTS").alias("n"), F.count_if(F.col("gene") == "TRANSCRIPT_COUNTS").alias("has"),
-        (of("CONTROL_PROBE_COUNTS", "CONTROL_CODEWORD_COUNTS", "UNASSIGNED_CODEWORD_COUNTS") + F.sum(F.when(is_control(F.col("gene")), F.greatest(F.col("raw"), F.lit(0.0))).otherwise(0.0))).alias("b"),
-    )
-    t = F.when(F.col("has") > 0, F.col("t")).otherwise(F.col("n"))
-    share = F.col("b") / F.nullif(F.when(F.col("n") > 0, F.col("n")).otherwise(t + F.col("b")), F.lit(0.0))
-    return c.select("cell_id", F.when(t < min_transcripts, "low_transcripts").when(share > max_background, "high_background").otherwise("kept").alias("verdict"))
+    of = lambda *names: F.sum(F.when(F.col("gene").isin(*names), F.coalesce("raw", F.lit(0.0))).otherwise(0.0))
+    c = expr.groupBy("cell_id").agg(of("TRANSCRIPT_COUNTS").alias("t"), of("TOTAL_COUNTS").alias("n"), of("CONTROL_PROBE_COUNTS", "CONTROL_CODEWORD_COUNTS", "UNASSIGNED_CODEWORD_COUNTS").alias("b"))
+    whole = F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("t") + F.col("b"))
+    share = F.when(whole > 0, F.col("b") / whole)
+    return c.select("cell_id", F.when(F.col("t") < min_transcripts, "low_transcripts").when(share > max_background, "high_background").otherwise("kept").alias("verdict"))
+
+
+def qc_kept(verdicts: DataFrame) -> DataFrame:
+    """The cells ``cell_qc`` keeps; running it fails if there are cells and none is kept. F3."""
+    n = verdicts.agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "kept").alias("kept"))
+    none = F.when((F.col("n") > 0) & (F.col("kept") == 0), F.raise_error(F.lit("cell quality control removed every cell")).cast("boolean"))
+    return verdicts.join(F.broadcast(n)).filter(F.coalesce(none, F.col("verdict") == "kept")).select("cell_id")  # n is one row
 
 
 def threshold_qc(expr: DataFrame, *, min_counts: float, min_genes: int) -> DataFrame:

@@ -63,10 +63,9 @@ def normalise(spark: SparkSession, folder: str) -> DataFrame:
     return quality.normalise(_features(spark, folder)).select("cell_id", "gene", F.bround("value", 6).alias("value"))
 
 
-@query(with_(EXPRESSION, _FEATURES) + """, c AS (SELECT cell_id, sum(CASE WHEN gene = 'TRANSCRIPT_COUNTS' THEN greatest(raw, 0) ELSE 0 END) AS t0, sum(CASE WHEN gene = 'TOTAL_COUNTS' THEN greatest(raw, 0) ELSE 0 END) AS n,
-  count(*) FILTER (gene = 'TRANSCRIPT_COUNTS') AS has, sum(CASE WHEN class = 'control' OR gene IN ('CONTROL_PROBE_COUNTS', 'CONTROL_CODEWORD_COUNTS', 'UNASSIGNED_CODEWORD_COUNTS') THEN greatest(raw, 0) ELSE 0 END) AS b FROM f GROUP BY 1),
-d AS (SELECT *, CASE WHEN has > 0 THEN t0 ELSE n END AS t FROM c)
-SELECT cell_id, CASE WHEN t < 10 THEN 'low_transcripts' WHEN b / nullif(CASE WHEN n > 0 THEN n ELSE t + b END, 0) > 0.05 THEN 'high_background' ELSE 'kept' END AS verdict FROM d""")
+@query(with_(EXPRESSION, _FEATURES) + """, c AS (SELECT cell_id, coalesce(sum(raw) FILTER (gene = 'TRANSCRIPT_COUNTS'), 0) AS t, coalesce(sum(raw) FILTER (gene = 'TOTAL_COUNTS'), 0) AS n,
+  coalesce(sum(raw) FILTER (gene IN ('CONTROL_PROBE_COUNTS', 'CONTROL_CODEWORD_COUNTS', 'UNASSIGNED_CODEWORD_COUNTS')), 0) AS b FROM f GROUP BY 1)
+SELECT cell_id, CASE WHEN t < 10 THEN 'low_transcripts' WHEN b / nullif(CASE WHEN n > 0 THEN n ELSE t + b END, 0) > 0.05 THEN 'high_background' ELSE 'kept' END AS verdict FROM c""")
 def cell_qc(spark: SparkSession, folder: str) -> DataFrame:
     return quality.cell_qc(_features(spark, folder))
 
@@ -501,7 +500,7 @@ def morans_i(spark: SparkSession, folder: str) -> DataFrame:
     return graph.morans_i(graph.knn_edges(c, 6), genes(spark, folder), c)
 
 
-@query(with_(CELLS, KNN, "v AS (SELECT sample_id, cell_id, cell_type AS gene, 1.0::DOUBLE AS value FROM pos WHERE cell_type IS NOT NULL QUALIFY count(*) OVER (PARTITION BY sample_id, cell_type) >= 20)", _MORAN.format(name="label")))
+@query(with_(CELLS, KNN, "v0 AS (SELECT sample_id, cell_id, cell_type AS gene, 1.0::DOUBLE AS value FROM pos WHERE cell_type IS NOT NULL QUALIFY count(*) OVER (PARTITION BY sample_id, cell_type) >= 50), two AS (SELECT sample_id FROM v0 GROUP BY 1 HAVING count(DISTINCT gene) >= 2), v AS (SELECT v0.* FROM v0 JOIN two USING (sample_id))", _MORAN.format(name="label")))
 def group_morans(spark: SparkSession, folder: str) -> DataFrame:
     c = positioned(spark, folder)
     return graph.group_morans(graph.knn_edges(c, 6), c)

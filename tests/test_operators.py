@@ -77,8 +77,28 @@ def test_labels(spark):
     g = {n: F.lit(v) for n, v in (("CD8A", 1.0), ("CD4", 2.0), ("CD68", 0.0), ("C1QA", 0.0), ("LYZ", 1.0), ("ACTA2", 0.0), ("MKI67", 1.0), ("KRT15", 0.0))}
     assert one(spark, *[labels.breast_relabel(F.lit(x), g) for x in ("T/NK cell", "Myeloid cell", "Epithelial/Tumor-like cell", "other")]) == ("CD4+_T_Cells", "Macrophages_1", "Prolif_Invasive_Tumor", "other")
     assert one(spark, labels.species(F.lit(" Homo sapiens ")), labels.species(F.lit("Zebrafish"))) == ("human", "zebrafish")
-    glia = spark.createDataFrame([("a", "Neural/Glial cell", 1.0, 0.0, 2.0), ("b", "Neural/Glial cell", 0.0, 0.0, 2.0), ("c", "B cell", 1.0, 0.0, 1.0)], "cell_id string, label string, AQP4 double, CD68 double, EGFR double")
-    assert [(r.candidate, r.confidence) for r in labels.astrocyte_rule(glia).collect()] == [("Astrocyte", 0.7), ("Glioma-like", 0.55), (None, None)]
+    glia = spark.createDataFrame([("a", "Neural/Glial cell", 1.0, 0.0, 2.0), ("b", "Neural/Glial cell", 0.0, 0.0, 2.0), ("c", "B cell", 1.0, 0.0, 1.0), ("d", "Neural/Glial cell", 0.0, 1.0, 2.0), ("e", "Neural/Glial cell", 1.0, 1.0, 2.0), ("f", "Neural/Glial cell", 1.0, None, None)], "cell_id string, label string, AQP4 double, CD68 double, EGFR double")
+    assert {r.cell_id: (r.candidate, r.confidence) for r in labels.astrocyte_rule(glia).collect()} == {"a": ("astrocyte", 0.7), "b": ("astrocyte", 0.55), "c": (None, None), "d": (None, None), "e": (None, None), "f": ("astrocyte", 0.62)}
+
+
+def test_cell_qc_known_answers(spark):
+    counts = {"a": (50.0, 100.0, 5.0, 0.0, 0.0), "b": (50.0, 100.0, 3.0, 2.0, 1.0), "c": (9.0, 100.0, 0.0, 0.0, 0.0), "d": (95.0, 0.0, 5.0, 0.0, 0.0), "e": (94.0, 0.0, 6.0, 0.0, 0.0), "f": (None, 100.0, 0.0, 0.0, 0.0)}
+    names = ("TRANSCRIPT_COUNTS", "TOTAL_COUNTS", "CONTROL_PROBE_COUNTS", "CONTROL_CODEWORD_COUNTS", "UNASSIGNED_CODEWORD_COUNTS")
+    rows = [(c, n, v) for c, vs in counts.items() for n, v in zip(names, vs, strict=True)] + [("a", "NegControlProbe_1", 90.0), ("g", "EPCAM", 500.0)]
+    got = quality.cell_qc(spark.createDataFrame(rows, "cell_id string, gene string, raw double"))
+    assert {r.cell_id: r.verdict for r in got.collect()} == {"a": "kept", "b": "high_background", "c": "low_transcripts", "d": "kept", "e": "high_background", "f": "low_transcripts", "g": "low_transcripts"}
+    assert {r.cell_id for r in quality.qc_kept(got).collect()} == {"a", "d"}
+    with pytest.raises(Exception, match="removed every cell"):
+        quality.qc_kept(got.filter("cell_id in ('c', 'e')")).collect()
+
+
+def test_group_morans_floors(spark):
+    """Labels of under 50 cells, and samples with one label left, have no value; two halves are nearly 1."""
+    rows = [("s", f"c{i:03}", float(i % 12), float(i // 12), "left" if i % 12 < 6 else "right") for i in range(144)] + [("s", f"r{i}", 20.0 + i, 0.0, "rare") for i in range(49)]
+    rows += [("t", f"t{i:03}", float(i % 12), float(i // 12), "one" if i < 60 else "two") for i in range(100)]
+    c = spark.createDataFrame(rows, "sample_id string, cell_id string, x double, y double, cell_type string")
+    got = {(r.sample_id, r.label): r.i for r in graph.group_morans(graph.knn_edges(c, 6), c).collect()}
+    assert set(got) == {("s", "left"), ("s", "right")} and all(v > 0.6 for v in got.values())
 
 
 def test_transfer_finds_planted_labels(spark):
