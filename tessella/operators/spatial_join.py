@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.identifiers import finite
+from tessella.session import shuffle_partitions
 
 
 def near_pairs(points: DataFrame, radius: float, *, group: str = "sample_id", key: str = "cell_id", x: str = "x", y: str = "y") -> DataFrame:
@@ -62,34 +63,43 @@ def ear_clip(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
     nxt = np.roll(pts, -1, axis=0)
     if (pts[:, 0] * nxt[:, 1] - nxt[:, 0] * pts[:, 1]).sum() < 0:
         pts = pts[::-1]
-    ring, out = list(range(len(pts))), []
+    before, after = np.roll(np.arange(len(pts)), 1), np.roll(np.arange(len(pts)), -1)
+    out, left = [], len(pts)
+    inside = np.ones(len(pts), bool)  # corners still in the ring
 
     def cross(o, a, b):
-        return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-
-    while len(ring) > 3:
-        n, cut = len(ring), -1
-        for i in range(n):
-            a, b, c = pts[ring[i - 1]], pts[ring[i]], pts[ring[(i + 1) % n]]
-            if cross(a, b, c) <= 0:
-                continue
-            rest = pts[[ring[j] for j in range(n) if j not in (i, (i - 1) % n, (i + 1) % n)]]
-            rest = rest[~((rest == a).all(1) | (rest == b).all(1) | (rest == c).all(1))]
-            inside = np.ones(len(rest), bool)
-            for p, q in ((a, b), (b, c), (c, a)):
-                inside &= (q[0] - p[0]) * (rest[:, 1] - p[1]) - (q[1] - p[1]) * (rest[:, 0] - p[0]) >= 0
-            if not inside.any():
-                cut = i
-                break
-        if cut < 0:
-            flat = [abs(cross(pts[ring[i - 1]], pts[ring[i]], pts[ring[(i + 1) % n]])) for i in range(n)]
-            cut = int(np.argmin(flat))
-        tri = pts[[ring[cut - 1], ring[cut], ring[(cut + 1) % n]]]
-        if abs(cross(*tri)) > 0:
-            out.append(tri)
-        ring.pop(cut)
-    tri = pts[ring]
-    if abs(cross(*tri)) > 0:
+        return (a[..., 0] - o[..., 0]) * (b[..., 1] - o[..., 1]) - (a[..., 1] - o[..., 1]) * (b[..., 0] - o[..., 0])
+
+    def is_ear(i: int) -> bool:
+        a, b, c = pts[before[i]], pts[i], pts[after[i]]
+        if turn[i] <= 0:
+            return False
+        # only corners that are not convex can lie in an ear
+        rest = pts[inside & (turn <= 0) & (xy[:, 0] >= min(a[0], b[0], c[0])) & (xy[:, 0] <= max(a[0], b[0], c[0]))]
+        rest = rest[~((rest == a).all(1) | (rest == b).all(1) | (rest == c).all(1))]
+        held = np.ones(len(rest), bool)
+        for p, q in ((a, b), (b, c), (c, a)):
+            held &= (q[0] - p[0]) * (rest[:, 1] - p[1]) - (q[1] - p[1]) * (rest[:, 0] - p[0]) >= 0
+        return not held.any()
+
+    xy, turn = pts, cross(pts[before], pts, pts[after])
+    at, tried = 0, 0
+    while left > 3:
+        if tried > left:  # no proper ear: the flattest corner goes
+            ring = np.flatnonzero(inside)
+            at = int(ring[np.argmin(np.abs(turn[ring]))])
+        elif not is_ear(at):
+            at, tried = int(after[at]), tried + 1
+            continue
+        a, c = int(before[at]), int(after[at])
+        if turn[at] != 0:
+            out.append(pts[[a, at, c]])
+        inside[at] = False
+        after[a], before[c] = c, a
+        turn[a], turn[c] = cross(pts[before[a]], pts[a], pts[c]), cross(pts[a], pts[c], pts[after[c]])
+        left, tried, at = left - 1, 0, a
+    tri = pts[np.flatnonzero(inside)]
+    if cross(tri[0], tri[1], tri[2]) != 0:
         out.append(tri)
     return np.array(out).reshape(-1, 3, 2)
 
@@ -159,7 +169,9 @@ def triangulate(shapes: DataFrame, *, group: str = "sample_id", shape: str = "sh
             yield pd.DataFrame({"g": pd.Series(g, dtype=object), "s": pd.Series(s, dtype="int64"), "t": pd.Series(t, dtype=object)})
 
     src = shapes.select(F.col(group).cast("string").alias("g"), F.col(shape).cast("long").alias("s"), F.col(xs).cast("array<double>").alias("xs"), F.col(ys).cast("array<double>").alias("ys"))
-    return src.filter("g is not null and s is not null").dropDuplicates(["g", "s"]).mapInPandas(cut, "g string, s long, t array<double>")
+    # clipping is the costly step, so outlines are spread over all tasks whatever their few bytes
+    src = src.filter("g is not null and s is not null").dropDuplicates(["g", "s"]).repartition(shuffle_partitions(shapes.sparkSession), "g", "s")
+    return src.mapInPandas(cut, "g string, s long, t array<double>")
 
 
 def points_in_outlines(

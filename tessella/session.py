@@ -34,11 +34,14 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, one machine) a temporary folder is made.
+    Only where that setting is missing in a local session (tests, one machine) a temporary
+    folder is made; a cluster without the setting is an error, as its executors share no folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="tessella-"))
     return _OWN_DIR[0]
@@ -59,11 +62,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df_or_none: DataFrame | None = None) -> None:
-    """Remove every materialised step of this process."""
-    _sweep()
-
-
 def _sweep() -> None:
     while _WRITTEN:
         spark, path = _WRITTEN.pop()

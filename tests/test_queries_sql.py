@@ -42,4 +42,5 @@ def test_same_rows(spark, small, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_runs(spark, small, name):
-    assert queries.QUERIES[name](spark, small).count() >= 0
+    # samples of the smallest tables are under the floors of these two
+    assert (queries.QUERIES[name](spark, small).count() > 0) == (name not in ("hotspot_regions", "ripley_verdicts"))
