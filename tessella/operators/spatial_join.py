@@ -169,8 +169,10 @@ def triangulate(shapes: DataFrame, *, group: str = "sample_id", shape: str = "sh
             yield pd.DataFrame({"g": pd.Series(g, dtype=object), "s": pd.Series(s, dtype="int64"), "t": pd.Series(t, dtype=object)})
 
     src = shapes.select(F.col(group).cast("string").alias("g"), F.col(shape).cast("long").alias("s"), F.col(xs).cast("array<double>").alias("xs"), F.col(ys).cast("array<double>").alias("ys"))
-    # clipping is the costly step, so outlines are spread over all tasks whatever their few bytes
-    src = src.filter("g is not null and s is not null").dropDuplicates(["g", "s"]).repartition(shuffle_partitions(shapes.sparkSession), "g", "s")
+    # clipping is the costly step, so outlines are spread over all cores whatever their few bytes; by
+    # another expression than the keys before, as an equal distribution would be dropped from the plan
+    cores = shapes.sparkSession.sparkContext.defaultParallelism
+    src = src.filter("g is not null and s is not null").dropDuplicates(["g", "s"]).repartition(min(2 * cores, shuffle_partitions(shapes.sparkSession)), F.xxhash64("g", "s"))
     return src.mapInPandas(cut, "g string, s long, t array<double>")
 
 
