@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import materialise
+from tessella.session import materialise, shuffle_partitions
 
 
 def shared_panel(reference: DataFrame, target: DataFrame, *, least: int = 5) -> DataFrame:
@@ -19,56 +21,75 @@ def shared_panel(reference: DataFrame, target: DataFrame, *, least: int = 5) ->
 
 
 def _vectors(expr: DataFrame, genes: DataFrame) -> DataFrame:
-    """(cell_id, g, v): hashes of the shared genes and ln(1 + raw / total * 1e4)."""
-    e = expr.join(genes, "gene", "left_semi")
+    """(cell_id, g, v): numbers of the shared genes and ln(1 + raw / total * 1e4)."""
+    e = expr.join(genes, "gene")
     total = F.sum("raw").over(Window.partitionBy("cell_id"))
-    e = e.withColumn("t", total).filter("t > 0").select("cell_id", "gene", F.log1p(F.col("raw") / F.col("t") * 1e4).alias("v"))
-    e = e.groupBy("cell_id").agg(F.collect_list(F.struct(F.xxhash64("gene").alias("g"), "v")).alias("e"))
+    e = e.withColumn("t", total).filter("t > 0").select("cell_id", "g", F.log1p(F.col("raw") / F.col("t") * 1e4).alias("v"))
+    e = e.groupBy("cell_id").agg(F.collect_list(F.struct("g", "v")).alias("e"))
     return e.select("cell_id", F.transform("e", lambda x: x["g"]).alias("g"), F.transform("e", lambda x: x["v"]).alias("v"))
 
 
-def nearest_references(reference: DataFrame, target: DataFrame, k: int, *, least: int = 5, block: int = 4096) -> DataFrame:
+def _nearest(targets: Iterator[tuple[np.ndarray, np.ndarray]], g: list[np.ndarray], v: list[np.ndarray], k: int, probe: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, d2) of the ``k`` nearest of the sparse vectors (g, v) to each target; ties (to 1e-9 of d2) go to the smaller place.
+
+    Products come from the lists of each gene, and for genes of over an eighth of the vectors from a dense matrix.
+    The k-th distance among every so many vectors bounds those that are put in order.
+    """
+    n, k = len(g), min(k, len(g))
+    names, at = np.unique(np.concatenate(g), return_inverse=True)
+    row, val = np.repeat(np.arange(n), [len(x) for x in g]), np.concatenate(v)
+    norm = np.bincount(row, val * val, n)
+    order = np.argsort(at, kind="stable")
+    at, row, val = at[order], row[order], 2 * val[order]
+    ends = np.r_[0, np.cumsum(np.bincount(at, minlength=len(names)))].tolist()
+    often = np.flatnonzero(np.diff(ends) > n / 8)
+    place = np.full(len(names), -1)
+    place[often] = np.arange(len(often))
+    dense = np.zeros((n, len(often)))
+    common = place[at] >= 0
+    dense[row[common], place[at[common]]] = val[common]
+    step = max(1, n // max(probe, k))
+    for tg, tv in targets:
+        i = np.minimum(np.searchsorted(names, tg), len(names) - 1)
+        ok = names[i] == tg
+        i, x = i[ok], tv[ok]
+        w = np.zeros(len(often))
+        w[place[i][place[i] >= 0]] = x[place[i] >= 0]
+        d = norm - dense @ w
+        for j, y in zip(i[place[i] < 0].tolist(), x[place[i] < 0].tolist(), strict=True):
+            own = row[ends[j] : ends[j + 1]]
+            d[own] -= val[ends[j] : ends[j + 1]] * y
+        top = np.arange(n) if step == 1 else np.flatnonzero(d <= np.partition(d[::step], k - 1)[k - 1] + 1e-8)
+        d2 = np.round(np.maximum(d[top] + (tv * tv).sum(), 0), 9)
+        best = np.argsort(d2, kind="stable")[:k]
+        yield top[best], d2[best]
+
+
+def nearest_references(reference: DataFrame, target: DataFrame, k: int, *, least: int = 5, block: int = 16_384, wide: int = 65_536) -> DataFrame:
     """(cell_id, ref, distance, rank): the ``k`` nearest reference cells of every target cell. J8.
 
-    Both are (cell_id, gene, raw).  Reference and target are cut into blocks by a hash and every
-    pair of blocks is one matrix product, merged by rank; ties (to 1e-9 of d2) go to the smaller id.
+    Both are (cell_id, gene, raw).  References are cut into blocks of ``wide`` and targets into blocks of ``block`` cells
+    by a hash, and every pair of blocks is a piece of work of its own, merged by rank; ties (to 1e-9 of d2) go to the smaller id.
     """
     reference, target = (materialise(x.select("cell_id", "gene", "raw")) for x in (reference, target))
     genes = shared_panel(reference, target, least=least)
+    genes = materialise(genes.withColumn("g", F.row_number().over(Window.orderBy("gene"))))  # a panel of genes, not cells
     anew = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  (both may come from one table)
     r, t = anew(_vectors(anew(reference), anew(genes))), anew(_vectors(anew(target), anew(genes)))
-    nr, nt = max(1, -(-reference.select("cell_id").distinct().count() // block)), max(1, -(-target.select("cell_id").distinct().count() // block))
+    nr, nt = max(1, -(-reference.select("cell_id").distinct().count() // wide)), max(1, -(-target.select("cell_id").distinct().count() // block))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     r = r.withColumn("rb", F.pmod(F.xxhash64("cell_id"), F.lit(nr)).cast("int")).withColumn("tb", spread(nt))
     t = t.withColumn("tb", F.pmod(F.xxhash64("cell_id"), F.lit(nt)).cast("int")).withColumn("rb", spread(nr))
 
     def near(tp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"cell_id": pd.Series([], dtype=object), "ref": pd.Series([], dtype=object), "d2": pd.Series([], dtype=float)})
         if not len(tp) or not len(rp):
-            return none
+            return pd.DataFrame({"cell_id": pd.Series([], dtype=object), "ref": pd.Series([], dtype=object), "d2": pd.Series([], dtype=float)})
         rp = rp.sort_values("cell_id")
-        names = np.unique(np.concatenate([*tp["g"], *rp["g"]]))
-
-        def dense(p: pd.DataFrame) -> np.ndarray:
-            m = np.zeros((len(p), len(names)))
-            row = np.repeat(np.arange(len(p)), [len(x) for x in p["g"]])
-            m[row, np.searchsorted(names, np.concatenate(list(p["g"])))] = np.concatenate(list(p["v"]))
-            return m
-
-        a, b = dense(tp), dense(rp)
-        d2 = np.round(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0), 9)
-        n = min(k, len(b))
-        if n < len(b):  # all that tie with the n-th nearest stay in until they are put in order
-            most = np.partition(d2, n - 1, axis=1)[:, n - 1]
-            wide = min(len(b), int((d2 <= most[:, None]).sum(axis=1).max()))
-            top = np.sort(np.argpartition(np.where(d2 <= most[:, None], d2, np.inf), wide - 1, axis=1)[:, :wide], axis=1)
-        else:
-            top = np.tile(np.arange(len(b)), (len(a), 1))
-        order = np.argsort(np.take_along_axis(d2, top, 1), axis=1, kind="stable")[:, :n]
-        top = np.take_along_axis(top, order, 1)
-        return pd.DataFrame({"cell_id": np.repeat(tp["cell_id"].to_numpy(), top.shape[1]), "ref": rp["cell_id"].to_numpy()[top].ravel(), "d2": np.take_along_axis(d2, top, 1).ravel()})
-
-    met = t.groupBy("tb", "rb").cogroup(r.groupBy("tb", "rb")).applyInPandas(near, "cell_id string, ref string, d2 double")
+        found = list(_nearest(zip(tp["g"], tp["v"], strict=True), rp["g"].to_list(), rp["v"].to_list(), k))
+        return pd.DataFrame({"cell_id": np.repeat(tp["cell_id"].to_numpy(), [len(x) for x, _ in found]), "ref": rp["cell_id"].to_numpy()[np.concatenate([x for x, _ in found])], "d2": np.concatenate([x for _, x in found])})
+
+    by, parts = ["tb", "rb"], 4 * shuffle_partitions(reference.sparkSession)
+    met = t.repartition(parts, *by).groupBy(*by).cogroup(r.repartition(parts, *by).groupBy(*by)).applyInPandas(near, "cell_id string, ref string, d2 double")
     rank = F.row_number().over(Window.partitionBy("cell_id").orderBy("d2", "ref"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("cell_id", "ref", F.sqrt("d2").alias("distance"), "rank")
 
@@ -85,7 +106,7 @@ def transfer_labels(reference: DataFrame, labels: DataFrame, target: DataFrame,
     if lab.select("label").distinct().limit(2).count() < 2:
         raise ValueError("the reference has fewer than two labels")
     ref = reference.join(lab.select(F.col("cell_id").alias("cell_id")), "cell_id", "left_semi")
-    n = nearest_references(ref, target, k).join(lab.select(F.col("cell_id").alias("ref"), "label"), "ref")
+    n = materialise(nearest_references(ref, target, k)).join(lab.select(F.col("cell_id").alias("ref"), "label"), "ref")
     zero = F.max((F.col("distance") == 0).cast("int")).over(Window.partitionBy("cell_id"))
     w = F.when(zero == 1, (F.col("distance") == 0).cast("double")).otherwise(1 / F.col("distance"))
     n = n.withColumn("w", w)

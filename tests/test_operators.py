@@ -321,3 +321,27 @@ def test_lisa_counts_by_places(spark, part_cells):
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=6e-5) for k in want)
     # the joins of the edges with all cells
     assert plan_of(df).count("SortMergeJoin") >= 2 and "posexplode" not in plan_of(df)
+
+
+@pytest.mark.parametrize(("block", "wide"), [(16_384, 65_536), (20, 50)])
+def test_nearest_references_are_exact(spark, block, wide):
+    """Sparse products, genes of every cell, copies (ties by id) and any blocks give what brute force gives; the search runs once."""
+    rng = np.random.default_rng(6)
+    m = np.where(rng.random((200, 30)) < 0.15, rng.integers(1, 9, (200, 30)), 0)
+    m[:, :2] = rng.integers(1, 9, (200, 2))
+    m[100:130] = m[0]
+    ids = [f"c{i:03}" for i in range(200)]
+    rows = [(ids[i], f"G{j:02}", float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)]
+    cols = "cell_id string, gene string, raw double"
+    ref, tgt = spark.createDataFrame([r for r in rows if r[0] >= "c080"], cols), spark.createDataFrame([r for r in rows if r[0] < "c080"], cols)
+    v = np.log1p(m / m.sum(1, keepdims=True) * 1e4)
+    d2 = np.round(((v[:80, None] - v[None, 80:]) ** 2).sum(-1), 9)
+    want = {(ids[i], ids[80 + j], n + 1) for i in range(80) for n, j in enumerate(np.argsort(d2[i], kind="stable")[:7].tolist())}
+    assert {(r.cell_id, r.ref, r["rank"]) for r in transfer.nearest_references(ref, tgt, 7, block=block, wide=wide).collect()} == want
+    near = {(r.cell_id, r.ref): r.distance for r in transfer.nearest_references(ref, tgt, 7, block=block, wide=wide).collect()}
+    assert all(abs(d - np.sqrt(d2[ids.index(a), ids.index(b) - 80])) < 1e-6 for (a, b), d in near.items())
+    sparse = [(np.flatnonzero(x), x[x > 0]) for x in v]
+    for i, (top, d) in enumerate(transfer._nearest(iter(sparse[:80]), *map(list, zip(*sparse[80:], strict=True)), 7, probe=20)):
+        assert top.tolist() == np.argsort(d2[i], kind="stable")[:7].tolist() and np.allclose(d, np.sort(d2[i])[:7])
+    lab = spark.createDataFrame([(k, f"t{i % 3}") for i, k in enumerate(ids)], "cell_id string, label string")
+    assert "CoGroups" not in plan_of(transfer.transfer_labels(ref, lab, tgt, k=7))
