@@ -89,3 +89,12 @@ def test_crowded_buckets_are_divided(spark):
     near = similar.similar(v, 3, min_similarity=0.9, shard_rows=8)
     ends = near.select(F.split("a", "_")[0].alias("a"), F.split("b", "_")[0].alias("b"))
     assert near.count() == 200 * 3 and ends.filter("a <> b").count() == 0
+
+
+def test_crowded_buckets_lose_no_pair(spark):
+    """The links are the same whether buckets are compared whole or in blocks."""
+    v = vectors(spark, cloud(groups=4, size=100, genes=12))
+    leaves = birch.cf_leaves(v.withColumnRenamed("cell_id", "k"), reach=0.99999).cache()
+    want, got = ({(r.a, r.b): r for r in birch.leaf_links(leaves, crowd=crowd).collect()} for crowd in (4096, 5))
+    assert len(want) > 5000 and got.keys() == want.keys()
+    assert all(abs(got[k].s - want[k].s) < 1e-5 and (got[k].na, got[k].nb) == (want[k].na, want[k].nb) for k in want)
