@@ -345,3 +345,12 @@ def test_nearest_references_are_exact(spark, block, wide):
         assert top.tolist() == np.argsort(d2[i], kind="stable")[:7].tolist() and np.allclose(d, np.sort(d2[i])[:7])
     lab = spark.createDataFrame([(k, f"t{i % 3}") for i, k in enumerate(ids)], "cell_id string, label string")
     assert "CoGroups" not in plan_of(transfer.transfer_labels(ref, lab, tgt, k=7))
+
+
+@pytest.mark.parametrize("name", ["local_morans"])
+def test_no_row_for_an_edge_under_a_permutation(spark, small, name):
+    """The plan permutes by place: labels are no self-join of all permutations, edges are not unfolded."""
+    from tessella.plans import queries
+
+    plan = plan_of(queries.QUERIES[name](spark, small))
+    assert "MapInArrow" in plan and "posexplode" not in plan
