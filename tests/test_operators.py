@@ -347,7 +347,7 @@ def test_nearest_references_are_exact(spark, block, wide):
     assert "CoGroups" not in plan_of(transfer.transfer_labels(ref, lab, tgt, k=7))
 
 
-@pytest.mark.parametrize("name", ["local_morans", "bh_adjust", "evidence_status"])
+@pytest.mark.parametrize("name", ["local_morans", "bh_adjust", "evidence_status", "pair_consistency"])
 def test_no_row_for_an_edge_under_a_permutation(spark, small, name):
     """The plan permutes by place: labels are no self-join of all permutations, edges are not unfolded."""
     from tessella.plans import queries
