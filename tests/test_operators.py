@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import re
 
 import numpy as np
 import pytest
@@ -354,3 +355,13 @@ def test_no_row_for_an_edge_under_a_permutation(spark, small, name):
 
     plan = plan_of(queries.QUERIES[name](spark, small))
     assert "MapInArrow" in plan and "posexplode" not in plan
+
+
+def test_settled_cells_are_never_broadcast(spark, small, monkeypatch):
+    """bh_adjust: no step of the neighbour search broadcasts a side that has a row for each cell."""
+    from tessella.plans import queries
+
+    plans = []
+    monkeypatch.setattr(graph, "materialise", lambda df, keep=graph.materialise: plans.append(plan_of(df)) or keep(df))
+    plans.append(plan_of(queries.QUERIES["bh_adjust"](spark, small)))
+    assert len(plans) > 4 and not [p for p in plans if re.search(r"BroadcastHashJoin \[sample_id#\d+, (cell_id|src)#", p)]
