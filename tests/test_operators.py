@@ -365,3 +365,10 @@ def test_settled_cells_are_never_broadcast(spark, small, monkeypatch):
     monkeypatch.setattr(graph, "materialise", lambda df, keep=graph.materialise: plans.append(plan_of(df)) or keep(df))
     plans.append(plan_of(queries.QUERIES["bh_adjust"](spark, small)))
     assert len(plans) > 4 and not [p for p in plans if re.search(r"BroadcastHashJoin \[sample_id#\d+, (cell_id|src)#", p)]
+
+
+def test_status_broadcasts_no_count_of_labels(spark, small):
+    """evidence_status: counts of labels have a row for each sample and label and are joined by merging."""
+    from tessella.plans import queries
+
+    assert not re.search(r"BroadcastHashJoin \[sample_id#\d+, [ab]#", plan_of(queries.QUERIES["evidence_status"](spark, small)))
