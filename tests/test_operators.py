@@ -372,3 +372,10 @@ def test_status_broadcasts_no_count_of_labels(spark, small):
     from tessella.plans import queries
 
     assert not re.search(r"BroadcastHashJoin \[sample_id#\d+, [ab]#", plan_of(queries.QUERIES["evidence_status"](spark, small)))
+
+
+def test_consistency_broadcasts_nothing(spark, small):
+    """pair_consistency: the plan over the written rounds of the neighbour search has no broadcast."""
+    from tessella.plans import queries
+
+    assert "Broadcast" not in plan_of(queries.QUERIES["pair_consistency"](spark, small))
