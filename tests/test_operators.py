@@ -379,3 +379,15 @@ def test_consistency_broadcasts_nothing(spark, small):
     from tessella.plans import queries
 
     assert "Broadcast" not in plan_of(queries.QUERIES["pair_consistency"](spark, small))
+
+
+def test_cells_of_the_squares_are_never_broadcast(spark, small, monkeypatch):
+    """pair_consistency: no plan that ran broadcasts a side that has a row for each cell, as adaptive execution did up to the limit."""
+    from tessella.plans import queries
+
+    plans = []
+    ran = lambda df: (df.collect(), plans.append(plan_of(df)))
+    monkeypatch.setattr(graph, "materialise", lambda df, keep=graph.materialise: ran(df) and keep(df))
+    ran(queries.QUERIES["pair_consistency"](spark, small))
+    assert len(plans) > 4 and not [p for p in plans if re.search(r"BroadcastHashJoin \[sample_id#\d+, ", p)]
+    assert [p for p in plans if re.search(r"SortMergeJoin \[sample_id#\d+, sx#", p)]
