@@ -10,7 +10,7 @@ from tessella.llm import birch, leakage, linked_split, proportional, similar, to
 from tessella.llm.encoding import ByteBPE, default_vocabulary, encode_texts
 from tessella.llm.hnsw import FlatHNSW
 from tessella.llm.language import PPM, corrected_labels, document_languages, language_code, learn, segment_languages, segments
-from tessella.llm.sparse import packed_vectors
+from tessella.llm.sparse import Block, bucket_features, pack, packed_vectors
 
 # --- top n ------------------------------------------------------------------------------------
 
@@ -172,6 +172,37 @@ def test_small_world_recall():
         assert FlatHNSW(x[:n]).own().shape[0] == n
 
 
+def test_work_of_a_graph(monkeypatch):
+    """A graph chooses from few numbers a vector, and the chosen are those of a full sort, ties or not."""
+    rng = np.random.default_rng(1)
+    x = (rng.normal(size=(400, 1, 16)) + 0.2 * rng.normal(size=(400, 10, 16))).reshape(-1, 16).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    seen, select = [], np.argpartition
+    monkeypatch.setattr(np, "argpartition", lambda a, *args, **more: seen.append(a.size) or select(a, *args, **more))
+    g = FlatHNSW(x, ef=12, keep=24)
+    assert sum(seen) < 1000 * len(x)  # 3,490 a vector when whole rows of a block and all queries of a step were gone through
+    g.x[100:160] = g.x[50]
+    block = np.arange(1000)
+    ids, sims = g._among(block)
+    own = g.x[:1000] @ g.x[:1000].T
+    np.fill_diagonal(own, -2)
+    assert (np.sort(sims, axis=1) == np.sort(own, axis=1)[:, -24:]).all()
+    assert (np.take_along_axis(own, ids, 1) == sims).all() and all(len(set(i)) == 24 for i in ids.tolist())
+
+
+def test_draws_of_some_rows():
+    """Further draws of a part of a block are those of the whole block; repeated features of a packed vector count once."""
+    rng = np.random.default_rng(3)
+    size = rng.integers(1, 9, 200)
+    packed = pack(np.r_[0, np.cumsum(size)], rng.integers(0, 12, size.sum()), rng.uniform(0.5, 2, size.sum()).astype(np.float32))
+    block, some = Block(packed), np.arange(0, 200, 7)
+    assert (bucket_features(block.rows(some), 2, 3) == bucket_features(block, 5)[some, 3:]).all()
+    for a, b in ((np.repeat(some, 3), np.tile([5, 0, 7], len(some))), (rng.integers(0, 200, 300), rng.integers(0, 200, 300))):
+        dense = block.dense().astype(np.float64)
+        assert np.allclose(block.dots(a, b), (dense[a] * dense[b]).sum(axis=1))
+    assert pack(np.array([0, 0, 4]), np.array([5, 2, 5, 2]), np.array([3.0, 1.0, 1.0, 4.0])) == [None, np.array([2, 5]).tobytes() + np.array([0.8, 0.6], np.float32).tobytes()]
+
+
 def test_clusters(spark):
     rows = planted() + [("lone", "F_alone", 5.0, "")]
     v = packed_vectors(spark.createDataFrame(rows, VEC), "cell_id", F.col("gene"), F.col("value"))
