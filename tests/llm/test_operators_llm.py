@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +204,48 @@ def test_draws_of_some_rows():
     assert pack(np.array([0, 0, 4]), np.array([5, 2, 5, 2]), np.array([3.0, 1.0, 1.0, 4.0])) == [None, np.array([2, 5]).tobytes() + np.array([0.8, 0.6], np.float32).tobytes()]
 
 
+def test_blocks_from_arrow():
+    """Packed vectors of an Arrow array, whole or sliced, are those of a list; slim ones keep 16 bits of a weight."""
+    rng = np.random.default_rng(5)
+    size = rng.integers(1, 9, 300)
+    packed = pack(np.r_[0, np.cumsum(size)], rng.integers(-(1 << 62), 1 << 62, size.sum()), rng.uniform(0.5, 2, size.sum()).astype(np.float32))
+    array = pa.array(packed, pa.binary())
+    for a, b in ((0, 300), (70, 200), (5, 5)):
+        want, got = Block(packed[a:b]), Block(array.slice(a, b - a))
+        slim = Block(got.slim(), slim=True)
+        for c in ("start", "row", "feature", "weight"):
+            assert (getattr(got, c) == getattr(want, c)).all() and len(getattr(got, c)) == len(getattr(want, c))
+        assert (slim.start == want.start).all() and (slim.feature == want.feature.astype(np.int32)).all() and (slim.weight == want.weight.astype(np.float16)).all()
+
+
+def test_small_components_share_batches():
+    """Many components leave in few batches, each whole, whatever the batches are."""
+    rng = np.random.default_rng(6)
+    rows, cells = [], []
+    for c in range(300):
+        for leaf in range(c % 4 + 1):
+            f = np.sort(rng.choice(50, 5, replace=False))
+            w = rng.uniform(0.5, 2, 5).astype(np.float32)
+            rows.append((c, f"c{leaf // 2}", 1 + leaf, 0.5, f, w))
+            cells.append(pack(np.array([0, 5]), f, w)[0])
+    table = pa.table({"component": pa.array([r[0] for r in rows]), "cluster": [r[1] for r in rows], "n": [r[2] for r in rows], "length": [r[3] for r in rows], "vec": pa.array(cells, pa.binary())})
+    sums = {}
+    for (c, cluster, n, length, f, _), vec in zip(rows, cells, strict=True):
+        total = sums.setdefault((c, cluster), np.zeros(50))
+        total[f] += n * length * np.frombuffer(vec, np.float32, 5, 40)
+    for size in (10_000, 7):
+        batches = list(birch._centroids(iter(table.to_batches(size))))
+        assert len(batches) <= 1 + len(table) // size + 1
+        got = {(c, x["cluster"]): x["vec"] for b in batches for c, book in zip(b["component"].to_pylist(), b["c"].to_pylist(), strict=True) for x in book}
+        assert sorted(c for b in batches for c in b["component"].to_pylist()) == list(range(300)) and got.keys() == sums.keys()
+        for k, vec in got.items():
+            n = len(vec) // 12
+            dense = np.zeros(50)
+            dense[np.frombuffer(vec, np.int64, n)] = np.frombuffer(vec, np.float32, n, 8 * n)
+            assert np.allclose(dense, sums[k] / np.linalg.norm(sums[k]), atol=1e-6)
+        assert [len(r["component"]) for r, _ in birch._lots(iter(table.to_batches(size)), "component")] and sum(len(s) - 1 for _, s in birch._lots(iter(table.to_batches(size)), "component")) == 300
+
+
 def test_clusters(spark):
     rows = planted() + [("lone", "F_alone", 5.0, "")]
     v = packed_vectors(spark.createDataFrame(rows, VEC), "cell_id", F.col("gene"), F.col("value"))
