@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.session import materialise, shuffle_partitions
 
+# Bits of genes and values of genes that a block of references may take, and parts of a block with a bound of their own.
+BITS, VALUES, PARTS = 1 << 29, 1 << 23, 64
+
 
 def shared_panel(reference: DataFrame, target: DataFrame, *, least: int = 5) -> DataFrame:
     """Genes measured in both; raises if there are fewer than ``least``. J11."""
@@ -20,78 +24,276 @@ def shared_panel(reference: DataFrame, target: DataFrame, *, least: int = 5) ->
     return g
 
 
-def _vectors(expr: DataFrame, genes: DataFrame) -> DataFrame:
-    """(cell_id, g, v): numbers of the shared genes and ln(1 + raw / total * 1e4)."""
-    e = expr.join(genes, "gene")
-    total = F.sum("raw").over(Window.partitionBy("cell_id"))
-    e = e.withColumn("t", total).filter("t > 0").select("cell_id", "g", F.log1p(F.col("raw") / F.col("t") * 1e4).alias("v"))
-    e = e.groupBy("cell_id").agg(F.collect_list(F.struct("g", "v")).alias("e"))
-    return e.select("cell_id", F.transform("e", lambda x: x["g"]).alias("g"), F.transform("e", lambda x: x["v"]).alias("v"))
+class References:
+    """Reference cells by bits of their genes, for exact searches; genes are numbers below ``genes``, those of a cell end at ``ends``.
 
+    Cells lie in the order of what they have in squares without their five largest.  A pair that shares c genes is at
+    least as far apart as the smallest squares of both sides but c; a part of the cells is searched down to the c that
+    this allows.
+    """
 
-def _nearest(targets: Iterator[tuple[np.ndarray, np.ndarray]], g: list[np.ndarray], v: list[np.ndarray], k: int, probe: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, d2) of the ``k`` nearest of the sparse vectors (g, v) to each target; ties (to 1e-9 of d2) go to the smaller place.
+    def __init__(self, ends: np.ndarray, g: np.ndarray, v: np.ndarray, genes: int):
+        n, size = len(ends), np.diff(ends, prepend=0)
+        width = int(size.max(initial=1))
+        row, col = np.repeat(np.arange(n), size), np.arange(len(g)) - np.repeat(ends - size, size)
+        sq = np.zeros((n, width))
+        sq[row, col] = v * v
+        norm = sq.sum(1)
+        sq.sort(axis=1)
+        self.n, self.order = n, np.argsort(sq[:, : max(1, width - 5)].sum(1), kind="stable")
+        place = np.empty(n, np.intp)
+        place[self.order] = np.arange(n)
+        row, self.norm = place[row], norm[self.order]
+        self.g, self.v = np.full((n, width), genes, np.uint16 if genes < 1 << 16 else np.int32), np.zeros((n, width))
+        self.g[row, col], self.v[row, col] = g, v
+        by, words = np.argsort(g, kind="stable"), -(-n // 64)
+        self.row, self.val = row[by], 2 * v[by]
+        self.ends = np.r_[0, np.cumsum(np.bincount(g, minlength=genes))]
+        self.bits, own = np.zeros((genes, words), np.uint64), np.zeros(64 * words, np.uint8)
+        for i in np.flatnonzero(np.diff(self.ends)).tolist():
+            own[self.row[self.ends[i] : self.ends[i + 1]]] = 1
+            self.bits[i] = np.packbits(own, bitorder="little").view(np.uint64)
+            own[self.row[self.ends[i] : self.ends[i + 1]]] = 0
+        self.step = -(-words // PARTS)  # words of a part
+        self.least = np.minimum.reduceat(np.cumsum(sq[self.order], axis=1)[:, ::-1], np.arange(0, n, 64 * self.step), axis=0)
+        self.q, self.dense = np.zeros(genes + 1), None
 
-    Products come from the lists of each gene, and for genes of over an eighth of the vectors from a dense matrix.
-    The k-th distance among every so many vectors bounds those that are put in order.
-    """
-    n, k = len(g), min(k, len(g))
+    def _planes(self, g: np.ndarray) -> list[np.ndarray]:
+        """Binary digits, from the lowest, of the number of genes ``g`` that each cell has."""
+        planes, level = [], [self.bits[g]]
+        while level:
+            x, up = np.concatenate(level), []
+            while len(x) > 2:
+                j = len(x) // 3
+                a, b, c = x[:j], x[j : 2 * j], x[2 * j : 3 * j]
+                u = a ^ b
+                s = u ^ c
+                u &= c
+                u |= a & b
+                up.append(u)
+                x = np.concatenate([s, x[3 * j :]])
+            if len(x) == 2:
+                up.append(x[:1] & x[1:])
+                x = x[:1] ^ x[1:]
+            planes.append(x[0])
+            level = up
+        return planes
+
+    def _places(self, planes: list[np.ndarray], m: int, a: int = 0, b: int | None = None) -> np.ndarray:
+        """Cells of the words a to b whose number is ``m`` or more."""
+        b = len(planes[0]) if b is None else min(b, len(planes[0]))
+        if m <= 0:
+            return np.arange(64 * a, min(64 * b, self.n))
+        bits = _at_least([x[a:b] for x in planes], m)
+        w = np.flatnonzero(bits)
+        i = np.flatnonzero(np.unpackbits(bits[w].view(np.uint8), bitorder="little"))
+        return ((w[i >> 6] + a) << 6) + (i & 63)
+
+    def _distances(self, i: np.ndarray, g: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """d2 to the cells ``i``; if they are many, by products with all cells."""
+        if len(i) <= max(1024, self.n // 8):
+            self.q[g] = v
+            d = self.norm.take(i) + v @ v - 2 * np.einsum("ij,ij->i", self.q.take(self.g.take(i, 0)), self.v.take(i, 0))
+            self.q[g] = 0
+            return d
+        if self.dense is None:  # genes of over an eighth of the cells
+            self.often = np.flatnonzero(np.diff(self.ends) > self.n / 8)
+            self.column = np.full(len(self.q), -1)
+            self.column[self.often] = np.arange(len(self.often))
+            self.dense = np.zeros((self.n, len(self.often)))
+            for j, x in enumerate(self.often.tolist()):
+                self.dense[self.row[self.ends[x] : self.ends[x + 1]], j] = self.val[self.ends[x] : self.ends[x + 1]]
+        at, w = self.column[g], np.zeros(len(self.often))
+        w[at[at >= 0]] = v[at >= 0]
+        d = self.norm + v @ v - self.dense @ w
+        for x, y in zip(g[at < 0].tolist(), v[at < 0].tolist(), strict=True):
+            d[self.row[self.ends[x] : self.ends[x + 1]]] -= self.val[self.ends[x] : self.ends[x + 1]] * y
+        return d[i]
+
+    def near(self, g: np.ndarray, v: np.ndarray, k: int, limit: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(places, d2) of the ``k`` nearest of those at d2 of ``limit`` or less; ties (to 1e-9 of d2) go to the smaller place."""
+        k, planes, genes, off = min(k, self.n), None, len(g), 0
+        if not genes:
+            planes = [np.zeros(self.bits.shape[1], np.uint64)]
+        if limit == np.inf:  # a bound from those that share most genes
+            planes = planes or self._planes(g)
+            lo, hi = 0, genes
+            while lo < hi:
+                mid = (lo + hi + 1) // 2
+                lo, hi = (mid, hi) if int(np.bitwise_count(_at_least(planes, mid)).sum(dtype=np.int64)) >= k else (lo, mid - 1)
+            limit = np.partition(self._distances(self._places(planes, lo), g, v), k - 1)[k - 1]
+        limit += 1e-8
+        left = np.r_[np.cumsum(np.sort(v * v))[::-1], 0.0][: self.least.shape[1]]
+        need = (left + self.least[:, : len(left)] > limit + 1e-9 * self.norm[-1]).sum(1)  # genes that a cell of the part has to share
+        if planes is None:
+            use = min(genes, max(1, genes - int(need.min()) + 4))
+            if use < genes - 1:  # who shares all but so many genes shares some of the rarest
+                off = genes - use
+            planes = self._planes(g[np.argsort(np.diff(self.ends)[g], kind="stable")[:use]] if off else g)
+        cut = [0, *(np.flatnonzero(np.diff(need)) + 1).tolist(), len(need)]
+        i = np.concatenate([self._places(planes, int(need[a]) - off, a * self.step, b * self.step) for a, b in zip(cut, cut[1:], strict=False)])
+        d2 = self._distances(i, g, v)
+        i, d2 = self.order[i[d2 <= limit]], np.round(np.maximum(d2[d2 <= limit], 0), 9)
+        best = np.lexsort((i, d2))[:k]
+        return i[best], d2[best]
+
+
+def _at_least(planes: list[np.ndarray], m: int) -> np.ndarray:
+    """Bits of the cells whose number is ``m`` or more, ``m`` above 0."""
+    more = np.zeros_like(planes[0])
+    if (m - 1) >> len(planes):
+        return more
+    for i, x in enumerate(planes):
+        more = x & more if (m - 1) >> i & 1 else x | more
+    return more
+
+
+def _nearest(targets: Iterator[tuple[np.ndarray, np.ndarray]], g: list[np.ndarray], v: list[np.ndarray], k: int, probe: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, d2) of the ``k`` nearest of the sparse vectors (g, v) to each target; ties (to 1e-9 of d2) go to the smaller place."""
     names, at = np.unique(np.concatenate(g), return_inverse=True)
-    row, val = np.repeat(np.arange(n), [len(x) for x in g]), np.concatenate(v)
-    norm = np.bincount(row, val * val, n)
-    order = np.argsort(at, kind="stable")
-    at, row, val = at[order], row[order], 2 * val[order]
-    ends = np.r_[0, np.cumsum(np.bincount(at, minlength=len(names)))].tolist()
-    often = np.flatnonzero(np.diff(ends) > n / 8)
-    place = np.full(len(names), -1)
-    place[often] = np.arange(len(often))
-    dense = np.zeros((n, len(often)))
-    common = place[at] >= 0
-    dense[row[common], place[at[common]]] = val[common]
-    step = max(1, n // max(probe, k))
+    refs = References(np.cumsum([len(x) for x in g]), at, np.concatenate(v), len(names))
     for tg, tv in targets:
         i = np.minimum(np.searchsorted(names, tg), len(names) - 1)
         ok = names[i] == tg
-        i, x = i[ok], tv[ok]
-        w = np.zeros(len(often))
-        w[place[i][place[i] >= 0]] = x[place[i] >= 0]
-        d = norm - dense @ w
-        for j, y in zip(i[place[i] < 0].tolist(), x[place[i] < 0].tolist(), strict=True):
-            own = row[ends[j] : ends[j + 1]]
-            d[own] -= val[ends[j] : ends[j + 1]] * y
-        top = np.arange(n) if step == 1 else np.flatnonzero(d <= np.partition(d[::step], k - 1)[k - 1] + 1e-8)
-        d2 = np.round(np.maximum(d[top] + (tv * tv).sum(), 0), 9)
-        best = np.argsort(d2, kind="stable")[:k]
-        yield top[best], d2[best]
-
-
-def nearest_references(reference: DataFrame, target: DataFrame, k: int, *, least: int = 5, block: int = 16_384, wide: int = 65_536) -> DataFrame:
+        top, d2 = refs.near(i[ok], tv[ok], k)
+        yield top, np.round(d2 + (tv[~ok] ** 2).sum(), 9)
+
+
+def _has_arrays(expr: DataFrame) -> bool:
+    return dict(expr.dtypes)["raw"].startswith("array")
+
+
+def _packed(expr: DataFrame) -> DataFrame:
+    """Cells with the arrays of their genes and counts, from (cell_id, gene, raw) or as they are."""
+    if _has_arrays(expr):
+        return expr
+    e = expr.select("cell_id", F.struct("gene", F.col("raw").cast("double").alias("raw")).alias("e")).groupBy("cell_id").agg(F.collect_list("e").alias("e"))
+    return e.select("cell_id", F.col("e.gene").alias("gene"), F.col("e.raw").alias("raw"))
+
+
+def _numbered(cells: DataFrame, panel: list[str]) -> DataFrame:
+    """Genes as their places in ``panel``, in order, those outside it left out; cells without counts fall."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(panel, pa.string())
+        for b in batches:
+            ends = np.cumsum(pc.list_value_length(b.column("gene")).to_numpy(zero_copy_only=False))
+            row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+            g = pc.fill_null(pc.index_in(b.column("gene").flatten(), value_set=names), -1).to_numpy(zero_copy_only=False)
+            raw = b.column("raw").flatten().to_numpy(zero_copy_only=False)
+            total = np.bincount(row[g >= 0], raw[g >= 0], len(ends))
+            o = np.lexsort((g, row))
+            o = o[(g[o] >= 0) & (total[row[o]] > 0)]
+            kept = np.flatnonzero(total > 0)
+            to = pa.array(np.r_[0, np.cumsum(np.bincount(row[o], minlength=len(ends))[kept])].astype(np.int32))
+            lists = {"gene": pa.ListArray.from_arrays(to, pa.array(g[o].astype(np.int32))), "raw": pa.ListArray.from_arrays(to, pa.array(raw[o]))}
+            yield pa.RecordBatch.from_pydict({c: lists[c] if c in lists else b.column(c).take(pa.array(kept)) for c in b.schema.names})
+
+    return cells.mapInArrow(number, ", ".join(f"{c} {'array<int>' if c == 'gene' else t}" for c, t in cells.dtypes))
+
+
+def _vectors(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ends, genes, ln(1 + raw / total * 1e4)) of numbered cells."""
+    size = np.concatenate([pc.list_value_length(b.column("gene")).to_numpy(zero_copy_only=False) for b in batches])
+    g, raw = (np.concatenate([b.column(c).flatten().to_numpy(zero_copy_only=False) for b in batches]) for c in ("gene", "raw"))
+    row = np.repeat(np.arange(len(size)), size)
+    return np.cumsum(size), g, np.log1p(raw / np.bincount(row, raw, len(size))[row] * 1e4)
+
+
+def _blocks(files: list[str], genes: int, wide: int) -> Iterator[list[pa.RecordBatch]]:
+    """Cells of the files in order, as many at once as a block may hold."""
+    wide = max(1, min(wide, BITS // max(1, genes)))
+    kept, cells, width = [], 0, 1
+    for b in _batches(files, min(wide, 16_384), ["gene", "raw"]):
+        most = pc.max(pc.list_value_length(b.column("gene"))).as_py()
+        if kept and (cells + len(b) > wide or (cells + len(b)) * max(width, most) > VALUES):
+            yield kept
+            kept, cells, width = [], 0, 1
+        kept, cells, width = [*kept, b], cells + len(b), max(width, most)
+    if kept:
+        yield kept
+
+
+def _batches(files: list[str], rows: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSystem
+
+    for f in files:
+        fs, path = FileSystem.from_uri(f)
+        with fs.open_input_file(path) as at:
+            yield from (b for b in pq.ParquetFile(at).iter_batches(rows, columns=columns) if len(b))
+
+
+def neighbours(reference: DataFrame, target: DataFrame, k: int, *, least: int = 5, block: int = 32_768, wide: int = 262_144) -> DataFrame:
+    """(cell_id, ref, d2): a row for every target cell, with the arrays of its ``k`` nearest reference cells in order; also ``labels`` if the reference has them.
+
+    Both are (cell_id, gene, raw), long, or a written table of a row for every cell with arrays.  The numbered references are written once, in the order of their
+    ids; every task reads them, ``wide`` at a time, past its own targets (about ``block`` at a time), which keep the best
+    so far.  No pair, and no copy of a cell for a block, is shuffled.
+    """
+    reference, target = (x if _has_arrays(x) else materialise(_packed(x)) for x in (reference, target))
+    names = [materialise(x.select(F.explode("gene").alias("gene")).distinct()) for x in (reference, target)]
+    panel = sorted(r.gene for r in shared_panel(*names, least=least).collect())  # a panel of genes, not cells
+    written = materialise(_numbered(reference, panel).orderBy("cell_id"))
+    files = sorted(written.inputFiles())
+    extra = [c for c in written.columns if c not in ("gene", "raw", "cell_id")]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for b in batches:
+            kept.append(b)
+            if sum(map(len, kept)) >= block:
+                yield from found(kept)
+                kept = []
+        if sum(map(len, kept)):
+            yield from found(kept)
+
+    def found(kept: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends, g, v = _vectors(kept)
+        starts = np.r_[0, ends[:-1]]
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(ends)
+        first = 0
+        for part in _blocks(files, len(panel), wide):
+            refs = References(*_vectors(part), len(panel))
+            for t, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+                at, d2 = best[t]
+                new, d = refs.near(g[a:b], v[a:b], k, d2[-1] if len(d2) == k else np.inf)
+                d2 = np.r_[d2, d]
+                o = np.argsort(d2, kind="stable")[:k]  # places of later blocks are larger
+                best[t] = np.r_[at, new + first][o], d2[o]
+            first += refs.n
+        to = pa.array(np.r_[0, np.cumsum([len(x) for x, _ in best])].astype(np.int32))
+        at = np.concatenate([x for x, _ in best])
+        if not len(at):
+            return
+        o = np.argsort(at, kind="stable")
+        back, bounds, took, first = np.empty(len(o), np.int64), at[o], [], 0
+        back[o] = np.arange(len(o))
+        for b in _batches(files, 16_384, ["cell_id", *extra]):
+            i, j = np.searchsorted(bounds, [first, first + len(b)])
+            took, first = took + [b.take(pa.array(bounds[i:j] - first))], first + len(b)
+        took = pa.Table.from_batches(took).take(pa.array(back)).combine_chunks()
+        of = lambda c: took.column(c).combine_chunks()
+        ids = pa.concat_arrays([b.column("cell_id") for b in kept])
+        d2 = pa.array(np.concatenate([d for _, d in best]))
+        all_ = {"cell_id": ids, "ref": pa.ListArray.from_arrays(to, of("cell_id")), "d2": pa.ListArray.from_arrays(to, d2)} | {c: pa.ListArray.from_arrays(to, of(c)) for c in extra}
+        out = pa.RecordBatch.from_pydict(all_)
+        yield from (out.slice(i, 10_000) for i in range(0, len(out), 10_000))
+
+    cells = _numbered(target.select("cell_id", "gene", "raw"), panel)
+    parts = max(shuffle_partitions(reference.sparkSession), -(-target.count() // block))
+    kinds = dict(written.dtypes)
+    return cells.repartition(parts, "cell_id").mapInArrow(search, "cell_id string, ref array<string>, d2 array<double>" + "".join(f", {c} array<{kinds[c]}>" for c in extra))
+
+
+def nearest_references(reference: DataFrame, target: DataFrame, k: int, *, least: int = 5, block: int = 32_768, wide: int = 262_144) -> DataFrame:
     """(cell_id, ref, distance, rank): the ``k`` nearest reference cells of every target cell. J8.
 
-    Both are (cell_id, gene, raw).  References are cut into blocks of ``wide`` and targets into blocks of ``block`` cells
-    by a hash, and every pair of blocks is a piece of work of its own, merged by rank; ties (to 1e-9 of d2) go to the smaller id.
+    See ``neighbours``; ties (to 1e-9 of d2) go to the smaller id.
     """
-    reference, target = (materialise(x.select("cell_id", "gene", "raw")) for x in (reference, target))
-    genes = shared_panel(reference, target, least=least)
-    genes = materialise(genes.withColumn("g", F.row_number().over(Window.orderBy("gene"))))  # a panel of genes, not cells
-    anew = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  (both may come from one table)
-    r, t = anew(_vectors(anew(reference), anew(genes))), anew(_vectors(anew(target), anew(genes)))
-    nr, nt = max(1, -(-reference.select("cell_id").distinct().count() // wide)), max(1, -(-target.select("cell_id").distinct().count() // block))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    r = r.withColumn("rb", F.pmod(F.xxhash64("cell_id"), F.lit(nr)).cast("int")).withColumn("tb", spread(nt))
-    t = t.withColumn("tb", F.pmod(F.xxhash64("cell_id"), F.lit(nt)).cast("int")).withColumn("rb", spread(nr))
-
-    def near(tp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if not len(tp) or not len(rp):
-            return pd.DataFrame({"cell_id": pd.Series([], dtype=object), "ref": pd.Series([], dtype=object), "d2": pd.Series([], dtype=float)})
-        rp = rp.sort_values("cell_id")
-        found = list(_nearest(zip(tp["g"], tp["v"], strict=True), rp["g"].to_list(), rp["v"].to_list(), k))
-        return pd.DataFrame({"cell_id": np.repeat(tp["cell_id"].to_numpy(), [len(x) for x, _ in found]), "ref": rp["cell_id"].to_numpy()[np.concatenate([x for x, _ in found])], "d2": np.concatenate([x for _, x in found])})
-
-    by, parts = ["tb", "rb"], 4 * shuffle_partitions(reference.sparkSession)
-    met = t.repartition(parts, *by).groupBy(*by).cogroup(r.repartition(parts, *by).groupBy(*by)).applyInPandas(near, "cell_id string, ref string, d2 double")
-    rank = F.row_number().over(Window.partitionBy("cell_id").orderBy("d2", "ref"))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("cell_id", "ref", F.sqrt("d2").alias("distance"), "rank")
+    n = neighbours(reference, target, k, least=least, block=block, wide=wide)
+    n = n.select("cell_id", F.posexplode(F.arrays_zip("ref", "d2")).alias("i", "n"))
+    return n.select("cell_id", F.col("n.ref").alias("ref"), F.sqrt("n.d2").alias("distance"), (F.col("i") + 1).alias("rank"))
 
 
 def transfer_labels(reference: DataFrame, labels: DataFrame, target: DataFrame, *, k: int = 15, prior_power: float = 0.0, low: float = 0.6, far: float = 0.9) -> DataFrame:
@@ -105,18 +307,21 @@ def transfer_labels(reference: DataFrame, labels: DataFrame, target: DataFrame,
     lab = labels.filter("label is not null")
     if lab.select("label").distinct().limit(2).count() < 2:
         raise ValueError("the reference has fewer than two labels")
-    ref = reference.join(lab.select(F.col("cell_id").alias("cell_id")), "cell_id", "left_semi")
-    n = materialise(nearest_references(ref, target, k)).join(lab.select(F.col("cell_id").alias("ref"), "label"), "ref")
-    zero = F.max((F.col("distance") == 0).cast("int")).over(Window.partitionBy("cell_id"))
-    w = F.when(zero == 1, (F.col("distance") == 0).cast("double")).otherwise(1 / F.col("distance"))
-    n = n.withColumn("w", w)
-    d = n.groupBy("cell_id").agg(F.avg("distance").alias("distance"))
-    v = n.groupBy("cell_id", "label").agg(F.sum("w").alias("s"))
+    ref = materialise(_packed(reference).join(lab.groupBy("cell_id").agg(F.collect_list("label").alias("labels")), "cell_id"))
+    n = materialise(neighbours(ref, target, k).select("cell_id", "labels", "d2"))
+    each = lambda ls, d2: F.transform(ls, lambda x: F.struct(x.alias("label"), F.sqrt(d2).alias("d")))
+    n = n.select("cell_id", F.flatten(F.zip_with("labels", "d2", each)).alias("n"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    n = n.select("cell_id", "n", F.array_sort(F.array_distinct("n.label")).alias("label"), F.exists("n", lambda x: x["d"] == 0).alias("zero"), (total(F.col("n.d")) / F.size("n")).alias("distance"))
+    w = lambda x: F.when(F.col("zero"), (x["d"] == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), x["d"]))
+    v = n.withColumn("s", F.transform("label", lambda y: total(F.transform(F.filter("n", lambda x: x["label"] == y), w))))
     if prior_power:
-        f = lab.groupBy("label").agg(F.count("*").alias("c")).withColumn("f", F.col("c") / F.sum("c").over(Window.partitionBy(F.lit(1))))
-        v = v.join(F.broadcast(f), "label").withColumn("s", F.col("s") / F.pow("f", F.lit(prior_power)))  # one row per label
-    v = v.withColumn("p", F.bround(F.col("s") / F.sum("s").over(Window.partitionBy("cell_id")), 9))
-    v = v.withColumn("r", F.row_number().over(Window.partitionBy("cell_id").orderBy(F.desc("p"), "label"))).filter("r = 1")
-    limit = d.agg(F.percentile("distance", far).alias("limit"))
-    j = v.join(d, "cell_id").join(F.broadcast(limit))  # one row
+        f = lab.groupBy("label").agg(F.count("*").alias("c")).agg(F.map_from_entries(F.collect_list(F.struct("label", "c"))).alias("c"), F.sum("c").alias("all"))
+        v = v.join(F.broadcast(f))  # one row
+        v = v.withColumn("s", F.zip_with("s", "label", lambda s, y: s / F.pow(F.col("c")[y] / F.col("all"), F.lit(prior_power))))
+    v = v.withColumn("t", total(F.col("s"))).withColumn("p", F.transform("s", lambda x: F.bround(x / F.col("t"), 9)))
+    v = v.withColumn("r", F.array_position("p", F.array_max("p")).cast("int"))
+    v = v.select("cell_id", F.element_at("label", F.col("r")).alias("label"), F.array_max("p").alias("p"), "distance")
+    limit = n.agg(F.percentile("distance", far).alias("limit"))
+    j = v.join(F.broadcast(limit))  # one row
     return j.select("cell_id", "label", F.bround("p", 4).alias("confidence"), F.bround("distance", 4).alias("distance"), (F.col("p") < low).alias("low_confidence"), (F.col("distance") > F.col("limit") + 1e-9).alias("distant"))

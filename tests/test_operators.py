@@ -348,6 +348,48 @@ def test_nearest_references_are_exact(spark, block, wide):
     assert "CoGroups" not in plan_of(transfer.transfer_labels(ref, lab, tgt, k=7))
 
 
+def test_no_cell_is_shuffled_for_a_block(spark, monkeypatch):
+    """label_transfer: however many blocks there are, target cells are shuffled once, and a row for each comes back."""
+    rng = np.random.default_rng(8)
+    rows = [(f"c{i:03}", f"G{j:02}", float(rng.integers(1, 9))) for i in range(120) for j in rng.choice(25, 9, replace=False)]
+    cols = "cell_id string, gene string, raw double"
+    ref, tgt = spark.createDataFrame([r for r in rows if r[0] >= "c060"], cols), spark.createDataFrame([r for r in rows if r[0] < "c060"], cols)
+    plans = []
+    monkeypatch.setattr(transfer, "materialise", lambda df, keep=transfer.materialise: plans.append(plan_of(df)) or keep(df))
+    near = transfer.nearest_references(ref, tgt, 5, block=10, wide=10)
+    plans.append(plan_of(near))
+    assert plans[-1].count("Exchange") == 1 and not [p for p in plans if "CoGroups" in p or "sequence(" in p]
+    assert near.count() == 60 * 5
+
+
+@pytest.mark.parametrize("genes", [300, 8])
+def test_bits_of_genes_leave_out_no_near_cell(genes):
+    """label_transfer: with bounds of earlier blocks or none, near groups, far cells, copies and cells full of genes give what brute force gives."""
+    rng = np.random.default_rng(9)
+    m = np.zeros((3000, genes))
+    for i in range(3000):
+        if i % 2 and i > 40:  # a member of a group
+            m[i] = m[i % 40] * rng.uniform(0.8, 1.25, genes)
+        else:
+            at = rng.choice(genes, min(genes, int(rng.integers(12, 20))), replace=False)
+            m[i, at] = rng.integers(1, 200, len(at))
+    m[2000:2020] = m[7]
+    v = np.log1p(m / m.sum(1, keepdims=True) * 1e4)
+    sparse = [(np.flatnonzero(x), x[x > 0]) for x in v]
+    blocks = [(a, transfer.References(np.cumsum([len(g) for g, _ in s]), *map(np.concatenate, zip(*s, strict=True)), genes)) for a, s in ((a, sparse[a : a + 1000]) for a in (100, 1100, 2100)) if s]
+    for t in range(100):
+        d2 = np.round(((v[100:] - v[t]) ** 2).sum(1), 9)
+        want = np.argsort(d2, kind="stable")[:15]
+        at, d = np.zeros(0, int), np.zeros(0)
+        for first, refs in blocks:
+            new, n = refs.near(*sparse[t], 15, d[-1] if len(d) == 15 else np.inf)
+            d, at = np.r_[d, n], np.r_[at, new + first - 100]
+            at, d = at[o := np.argsort(d, kind="stable")[:15]], d[o]
+        assert np.allclose(d, d2[want]) and np.allclose(d2[at], d2[want]) and len(set(at)) == 15
+        if np.diff(np.sort(d2)[:16]).min() > 1e-6 or t == 7:
+            assert at.tolist() == want.tolist()
+
+
 @pytest.mark.parametrize("name", ["local_morans", "bh_adjust", "evidence_status", "pair_consistency"])
 def test_no_row_for_an_edge_under_a_permutation(spark, small, name):
     """The plan permutes by place: labels are no self-join of all permutations, edges are not unfolded."""
