@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import materialise, shuffle_partitions
+from tessella.session import materialise
 
 # Bits of genes and values of genes that a block of references may take, and parts of a block with a bound of their own.
 BITS, VALUES, PARTS = 1 << 29, 1 << 23, 64
@@ -35,59 +35,59 @@ class References:
     def __init__(self, ends: np.ndarray, g: np.ndarray, v: np.ndarray, genes: int):
         n, size = len(ends), np.diff(ends, prepend=0)
         width = int(size.max(initial=1))
-        row, col = np.repeat(np.arange(n), size), np.arange(len(g)) - np.repeat(ends - size, size)
+        row, col = np.repeat(np.arange(n, dtype=np.int32), size), np.arange(len(g), dtype=np.int32) - np.repeat((ends - size).astype(np.int32), size)
         sq = np.zeros((n, width))
         sq[row, col] = v * v
         norm = sq.sum(1)
         sq.sort(axis=1)
-        self.n, self.order = n, np.argsort(sq[:, : max(1, width - 5)].sum(1), kind="stable")
-        place = np.empty(n, np.intp)
+        self.n, self.order, words = n, np.argsort(sq[:, : max(1, width - 5)].sum(1), kind="stable"), -(-n // 64)
+        self.step = -(-words // PARTS)  # words of a part
+        parts = [self.order[a : a + 64 * self.step] for a in range(0, n, 64 * self.step)]
+        self.least = np.array([np.cumsum(sq[i], axis=1).min(0)[::-1] for i in parts])
+        del sq
+        place = np.empty(n, np.int32)
         place[self.order] = np.arange(n)
         row, self.norm = place[row], norm[self.order]
         self.g, self.v = np.full((n, width), genes, np.uint16 if genes < 1 << 16 else np.int32), np.zeros((n, width))
         self.g[row, col], self.v[row, col] = g, v
-        by, words = np.argsort(g, kind="stable"), -(-n // 64)
-        self.row, self.val = row[by], 2 * v[by]
-        self.ends = np.r_[0, np.cumsum(np.bincount(g, minlength=genes))]
+        del col
+        row, to = row[np.argsort(g.astype(self.g.dtype), kind="stable")], np.cumsum(np.bincount(g, minlength=genes)).tolist()
         self.bits, own = np.zeros((genes, words), np.uint64), np.zeros(64 * words, np.uint8)
-        for i in np.flatnonzero(np.diff(self.ends)).tolist():
-            own[self.row[self.ends[i] : self.ends[i + 1]]] = 1
+        for i, (a, b) in enumerate(zip([0, *to], to, strict=False)):
+            own[row[a:b]] = 1
             self.bits[i] = np.packbits(own, bitorder="little").view(np.uint64)
-            own[self.row[self.ends[i] : self.ends[i + 1]]] = 0
-        self.step = -(-words // PARTS)  # words of a part
-        self.least = np.minimum.reduceat(np.cumsum(sq[self.order], axis=1)[:, ::-1], np.arange(0, n, 64 * self.step), axis=0)
-        self.q, self.dense = np.zeros(genes + 1), None
+            own[row[a:b]] = 0
+        self.cells = np.diff(to, prepend=0)
+        self.q, self.dense, self.last = np.zeros(genes + 1), None, (b"", [])
 
     def _planes(self, g: np.ndarray) -> list[np.ndarray]:
-        """Binary digits, from the lowest, of the number of genes ``g`` that each cell has."""
-        planes, level = [], [self.bits[g]]
+        """Binary digits, from the lowest, of the number of genes ``g`` that each cell has; kept for the next target."""
+        key = g.tobytes()
+        if self.last[0] == key:
+            return self.last[1]
+        planes, level = [], [self.bits[i] for i in g.tolist()] or [np.zeros(self.bits.shape[1], np.uint64)]
         while level:
-            x, up = np.concatenate(level), []
-            while len(x) > 2:
-                j = len(x) // 3
-                a, b, c = x[:j], x[j : 2 * j], x[2 * j : 3 * j]
+            up = []
+            while len(level) > 2:
+                a, b, c = level[:3]
                 u = a ^ b
-                s = u ^ c
+                level = [*level[3:], u ^ c]
                 u &= c
                 u |= a & b
                 up.append(u)
-                x = np.concatenate([s, x[3 * j :]])
-            if len(x) == 2:
-                up.append(x[:1] & x[1:])
-                x = x[:1] ^ x[1:]
-            planes.append(x[0])
+            if len(level) == 2:
+                up.append(level[0] & level[1])
+                level = [level[0] ^ level[1]]
+            planes.append(level[0])
             level = up
+        self.last = key, planes
         return planes
 
-    def _places(self, planes: list[np.ndarray], m: int, a: int = 0, b: int | None = None) -> np.ndarray:
-        """Cells of the words a to b whose number is ``m`` or more."""
-        b = len(planes[0]) if b is None else min(b, len(planes[0]))
-        if m <= 0:
-            return np.arange(64 * a, min(64 * b, self.n))
-        bits = _at_least([x[a:b] for x in planes], m)
-        w = np.flatnonzero(bits)
-        i = np.flatnonzero(np.unpackbits(bits[w].view(np.uint8), bitorder="little"))
-        return ((w[i >> 6] + a) << 6) + (i & 63)
+    def _places(self, bits: np.ndarray) -> np.ndarray:
+        w = np.flatnonzero(bits != 0)
+        i = np.flatnonzero(np.unpackbits(bits[w].view(np.uint8), bitorder="little").view(bool))
+        i = (w[i >> 6] << 6) + (i & 63)
+        return i if not len(i) or i[-1] < self.n else i[i < self.n]
 
     def _distances(self, i: np.ndarray, g: np.ndarray, v: np.ndarray) -> np.ndarray:
         """d2 to the cells ``i``; if they are many, by products with all cells."""
@@ -96,8 +96,11 @@ class References:
             d = self.norm.take(i) + v @ v - 2 * np.einsum("ij,ij->i", self.q.take(self.g.take(i, 0)), self.v.take(i, 0))
             self.q[g] = 0
             return d
-        if self.dense is None:  # genes of over an eighth of the cells
-            self.often = np.flatnonzero(np.diff(self.ends) > self.n / 8)
+        if self.dense is None:  # of genes of over an eighth of the cells; lists of the others
+            flat = self.g.ravel()
+            by = np.argsort(flat, kind="stable")[: int(self.cells.sum())]
+            self.row, self.val, self.ends = by // self.g.shape[1], 2 * self.v.ravel()[by], np.r_[0, np.cumsum(self.cells)]
+            self.often = np.flatnonzero(self.cells > self.n / 8)
             self.column = np.full(len(self.q), -1)
             self.column[self.often] = np.arange(len(self.often))
             self.dense = np.zeros((self.n, len(self.often)))
@@ -112,26 +115,26 @@ class References:
 
     def near(self, g: np.ndarray, v: np.ndarray, k: int, limit: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
         """(places, d2) of the ``k`` nearest of those at d2 of ``limit`` or less; ties (to 1e-9 of d2) go to the smaller place."""
-        k, planes, genes, off = min(k, self.n), None, len(g), 0
-        if not genes:
-            planes = [np.zeros(self.bits.shape[1], np.uint64)]
+        k, genes, off = min(k, self.n), len(g), 0
         if limit == np.inf:  # a bound from those that share most genes
-            planes = planes or self._planes(g)
+            planes = self._planes(g)
             lo, hi = 0, genes
             while lo < hi:
                 mid = (lo + hi + 1) // 2
                 lo, hi = (mid, hi) if int(np.bitwise_count(_at_least(planes, mid)).sum(dtype=np.int64)) >= k else (lo, mid - 1)
-            limit = np.partition(self._distances(self._places(planes, lo), g, v), k - 1)[k - 1]
+            limit = np.partition(self._distances(self._places(_at_least(planes, lo)), g, v), k - 1)[k - 1]
         limit += 1e-8
-        left = np.r_[np.cumsum(np.sort(v * v))[::-1], 0.0][: self.least.shape[1]]
+        left = np.zeros(genes + 1)
+        left[:genes] = np.cumsum(np.sort(v * v))[::-1]
+        left = left[: self.least.shape[1]]
         need = (left + self.least[:, : len(left)] > limit + 1e-9 * self.norm[-1]).sum(1)  # genes that a cell of the part has to share
-        if planes is None:
-            use = min(genes, max(1, genes - int(need.min()) + 4))
-            if use < genes - 1:  # who shares all but so many genes shares some of the rarest
-                off = genes - use
-            planes = self._planes(g[np.argsort(np.diff(self.ends)[g], kind="stable")[:use]] if off else g)
-        cut = [0, *(np.flatnonzero(np.diff(need)) + 1).tolist(), len(need)]
-        i = np.concatenate([self._places(planes, int(need[a]) - off, a * self.step, b * self.step) for a, b in zip(cut, cut[1:], strict=False)])
+        use = genes - int(need.min()) + 5
+        if 0 < use <= 2 * genes // 3:  # who shares all but so many genes shares some of the rarest
+            off = genes - use
+        planes = self._planes(g[np.argsort(self.cells[g], kind="stable")[:use]] if off else g)
+        cut = [0, *(np.flatnonzero(need[1:] != need[:-1]) + 1).tolist(), len(need)]
+        bits = [_at_least([x[a * self.step : b * self.step] for x in planes], int(need[a]) - off) for a, b in zip(cut, cut[1:], strict=False)]
+        i = self._places(np.concatenate(bits))
         d2 = self._distances(i, g, v)
         i, d2 = self.order[i[d2 <= limit]], np.round(np.maximum(d2[d2 <= limit], 0), 9)
         best = np.lexsort((i, d2))[:k]
@@ -139,13 +142,18 @@ class References:
 
 
 def _at_least(planes: list[np.ndarray], m: int) -> np.ndarray:
-    """Bits of the cells whose number is ``m`` or more, ``m`` above 0."""
-    more = np.zeros_like(planes[0])
+    """Bits of the cells whose number is ``m`` or more."""
+    if m <= 0:
+        return np.full_like(planes[0], ~np.uint64(0))
     if (m - 1) >> len(planes):
-        return more
+        return np.zeros_like(planes[0])
+    more = None  # of the digits so far, none is above those of m - 1
     for i, x in enumerate(planes):
-        more = x & more if (m - 1) >> i & 1 else x | more
-    return more
+        if (m - 1) >> i & 1:
+            more = more if more is None else x & more
+        else:
+            more = x if more is None else x | more
+    return np.zeros_like(planes[0]) if more is None else more
 
 
 def _nearest(targets: Iterator[tuple[np.ndarray, np.ndarray]], g: list[np.ndarray], v: list[np.ndarray], k: int, probe: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -200,18 +208,20 @@ def _vectors(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.
     return np.cumsum(size), g, np.log1p(raw / np.bincount(row, raw, len(size))[row] * 1e4)
 
 
-def _blocks(files: list[str], genes: int, wide: int) -> Iterator[list[pa.RecordBatch]]:
-    """Cells of the files in order, as many at once as a block may hold."""
+def _blocks(files: list[str], genes: int, wide: int) -> Iterator[References]:
+    """Cells of the files in order, as many at once as a block may hold; one block is in memory at a time."""
     wide = max(1, min(wide, BITS // max(1, genes)))
     kept, cells, width = [], 0, 1
     for b in _batches(files, min(wide, 16_384), ["gene", "raw"]):
         most = pc.max(pc.list_value_length(b.column("gene"))).as_py()
         if kept and (cells + len(b) > wide or (cells + len(b)) * max(width, most) > VALUES):
-            yield kept
-            kept, cells, width = [], 0, 1
+            made, kept, cells, width = References(*_vectors(kept), genes), [], 0, 1
+            yield made
+            del made
         kept, cells, width = [*kept, b], cells + len(b), max(width, most)
     if kept:
-        yield kept
+        made, kept = References(*_vectors(kept), genes), []
+        yield made
 
 
 def _batches(files: list[str], rows: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +234,7 @@ def _batches(files: list[str], rows: int, columns: list[str]) -> Iterator[pa.Rec
             yield from (b for b in pq.ParquetFile(at).iter_batches(rows, columns=columns) if len(b))
 
 
-def neighbours(reference: DataFrame, target: DataFrame, k: int, *, least: int = 5, block: int = 32_768, wide: int = 262_144) -> DataFrame:
+def neighbours(reference: DataFrame, target: DataFrame, k: int, *, least: int = 5, block: int = 65_536, wide: int = 131_072) -> DataFrame:
     """(cell_id, ref, d2): a row for every target cell, with the arrays of its ``k`` nearest reference cells in order; also ``labels`` if the reference has them.
 
     Both are (cell_id, gene, raw), long, or a written table of a row for every cell with arrays.  The numbered references are written once, in the order of their
@@ -250,18 +260,20 @@ def neighbours(reference: DataFrame, target: DataFrame, k: int, *, least: int =
 
     def found(kept: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends, g, v = _vectors(kept)
-        starts = np.r_[0, ends[:-1]]
+        starts, ends = [0, *ends[:-1].tolist()], ends.tolist()
+        turns = sorted(range(len(ends)), key=lambda t: g[starts[t] : ends[t]].tobytes())
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(ends)
         first = 0
-        for part in _blocks(files, len(panel), wide):
-            refs = References(*_vectors(part), len(panel))
-            for t, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-                at, d2 = best[t]
+        for refs in _blocks(files, len(panel), wide):
+            for t in turns:
+                a, b, (at, d2) = starts[t], ends[t], best[t]
                 new, d = refs.near(g[a:b], v[a:b], k, d2[-1] if len(d2) == k else np.inf)
-                d2 = np.r_[d2, d]
-                o = np.argsort(d2, kind="stable")[:k]  # places of later blocks are larger
-                best[t] = np.r_[at, new + first][o], d2[o]
+                if len(new):
+                    d2 = np.concatenate([d2, d])
+                    o = np.argsort(d2, kind="stable")[:k]  # places of later blocks are larger
+                    best[t] = np.concatenate([at, new + first])[o], d2[o]
             first += refs.n
+            del refs  # before the next is made
         to = pa.array(np.r_[0, np.cumsum([len(x) for x, _ in best])].astype(np.int32))
         at = np.concatenate([x for x, _ in best])
         if not len(at):
@@ -281,12 +293,13 @@ def neighbours(reference: DataFrame, target: DataFrame, k: int, *, least: int =
         yield from (out.slice(i, 10_000) for i in range(0, len(out), 10_000))
 
     cells = _numbered(target.select("cell_id", "gene", "raw"), panel)
-    parts = max(shuffle_partitions(reference.sparkSession), -(-target.count() // block))
+    cores = reference.sparkSession.sparkContext.defaultParallelism
+    parts = cores * max(2, -(-target.count() // (block * cores)))  # cells with the same genes meet and are searched one after the other
     kinds = dict(written.dtypes)
-    return cells.repartition(parts, "cell_id").mapInArrow(search, "cell_id string, ref array<string>, d2 array<double>" + "".join(f", {c} array<{kinds[c]}>" for c in extra))
+    return cells.repartition(parts, "gene").mapInArrow(search, "cell_id string, ref array<string>, d2 array<double>" + "".join(f", {c} array<{kinds[c]}>" for c in extra))
 
 
-def nearest_references(reference: DataFrame, target: DataFrame, k: int, *, least: int = 5, block: int = 32_768, wide: int = 262_144) -> DataFrame:
+def nearest_references(reference: DataFrame, target: DataFrame, k: int, *, least: int = 5, block: int = 65_536, wide: int = 131_072) -> DataFrame:
     """(cell_id, ref, distance, rank): the ``k`` nearest reference cells of every target cell. J8.
 
     See ``neighbours``; ties (to 1e-9 of d2) go to the smaller id.
